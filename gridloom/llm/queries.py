@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, packing, pii, secrets, simhash, syncmers, tokens
+from . import decontam, langid, licenses, packing, pii, secrets, simhash, syncmers, tokens, toxicity
 from .common import table
 
 
@@ -35,6 +35,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("rid")
 
@@ -56,6 +62,7 @@ QUERIES = {
         op4_language_id,
         op5_simhash_near_dedup,
         op6_token_counts,
+        op7_toxicity_scores,
         op8_benchmark_decontamination,
         op9_pii_pseudonyms,
         op10_license_scan,

@@ -291,3 +291,199 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col, size), "simhash-prints")
     out = linked(prints, bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity ----------------------------------------------------------------
+#
+# At a similarity of 0.8 in five-word shingles a 64-bit fingerprint differs in about ten bits, too
+# many for one search within the radius plus threshold. So the candidates come from a wider
+# fingerprint of the distinct words, which an edited word moves least (about 0.06 of its bits at
+# that similarity, against 0.36 and more between unrelated texts): it has eight blocks, each
+# decoded to its code word, and stands under the anchors of all 28 pairs of blocks. Two documents
+# meet if two of their eight blocks have the same code words. Candidates are compared per anchor,
+# thinned to a minimum spanning forest of real pairs, and decided by their exact Jaccard
+# similarity, so that only verified links join documents.
+
+WIDE = 3  #: 64-bit words of the wide fingerprint
+WIDE_BLOCKS = 64 * WIDE // BLOCK
+WIDE_BITS = 26  #: most differing bits of a candidate pair
+_PAIRS = [(i, j) for i in range(WIDE_BLOCKS) for j in range(i)]
+
+
+def wide_fingerprint(text: str | None) -> tuple[int, list[int]]:
+    """(hash of the normalised word sequence, SimHash of the distinct words as WIDE integers)."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    name = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    if not words:
+        return name, [0] * WIDE
+    distinct = set(words)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    out = []
+    for k in range(WIDE):
+        x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0]))
+    return name, out
+
+
+def _wide_blocks(f: np.ndarray) -> np.ndarray:
+    """Code words (12 bits) of the eight blocks of fingerprints (n, WIDE)."""
+    bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
+    weights = 1 << np.arange(BLOCK, dtype=np.int64)
+    return np.stack([_block_anchors(bits[:, k * BLOCK : (k + 1) * BLOCK].astype(np.int64) @ weights, 0)[1] for k in range(WIDE_BLOCKS)], axis=1)
+
+
+def _candidate_forest(name: np.ndarray, f: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs of one anchor within WIDE_BITS that connect it; real pairs, closest first."""
+    name, at = np.unique(name, return_index=True)
+    f = f[at]
+    a, b = [], []
+    if len(name) > PAIRWISE_UP_TO:
+        rest = np.arange(len(name))
+        while len(rest) > 1:  # a large group: stars around leaders, one pass a leader
+            d = np.bitwise_count(f[rest[1:]] ^ f[rest[0]]).sum(1, dtype=np.int64)
+            near = d <= WIDE_BITS
+            a += [int(name[rest[0]])] * int(near.sum())
+            b += name[rest[1:][near]].tolist()
+            rest = rest[1:][~near]
+        return a, b
+    i, j = np.triu_indices(len(name), 1)
+    d = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64)
+    hit = np.flatnonzero(d <= WIDE_BITS)
+    root = list(range(len(name)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k in hit[np.argsort(d[hit], kind="stable")].tolist():
+        x, y = find(int(i[k])), find(int(j[k]))
+        if x != y:
+            root[x] = y
+            a.append(int(name[i[k]]))
+            b.append(int(name[j[k]]))
+    return a, b
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """``a, b`` (names) of candidate pairs of a table ``g, f0, f1, ..``."""
+    fs = [f"f{k}" for k in range(WIDE)]
+    names = ["anchor", "g", *fs]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            blocks = _wide_blocks(np.stack(cols[1:], axis=1).view(np.uint64)) if len(batch) else np.zeros((0, WIDE_BLOCKS), np.int64)
+            for k, (i, j) in enumerate(_PAIRS):
+                key = np.int64(k) << 24 | blocks[:, i] << 12 | blocks[:, j]
+                yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = []  # rows of the anchor that may go on
+
+        def done(x: np.ndarray) -> pa.RecordBatch:
+            cut = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
+            size = np.diff(np.r_[cut, len(x)])
+            a, b = [], []
+            for k in np.flatnonzero(size > 1):
+                p, q = _candidate_forest(x[cut[k] : cut[k] + size[k], 1], x[cut[k] : cut[k] + size[k], 2:].view(np.uint64))
+                a += p
+                b += q
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            if rest and rest[0][0, 0] != x[0, 0]:
+                yield done(np.concatenate(rest))
+                rest = []
+            cut = int(np.searchsorted(x[:, 0], x[-1, 0]))
+            if cut:
+                yield done(np.concatenate([*rest, x[:cut]]))
+                rest = []
+            rest.append(x[cut:])
+        if rest:
+            yield done(np.concatenate(rest))
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = ", ".join(f"{c} long" for c in names)
+    dealt = nodes.select("g", *fs).mapInArrow(deal, kinds).repartition(n, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row: ``doc_id, h`` (hash of the text) and the document that stands for its group.
+
+    Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is
+    at least ``similarity``; groups are the components of verified links among candidates. Word
+    sequences that are equal but for case and white space are one node. ``rep_id, rep_h`` name the
+    row with the smallest id of the group (null ids last). Candidates are found by fingerprints,
+    so a pair near the threshold may be missed; no pair below it is ever linked.
+    """
+    fs = [f"f{k}" for k in range(WIDE)]
+    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    kind = picked.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [wide_fingerprint(t.as_py()) for t in b.column(2)]
+            cols = np.array([[g, *f] for g, f in made], np.uint64).reshape(-1, 1 + WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", "h", "g", *fs])
+
+    rows = materialize(
+        picked.select("doc_id", "h", "text").mapInArrow(prints, f"doc_id {kind}, h long, g long, " + ", ".join(f"{f} long" for f in fs)), "near-prints"
+    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("rep")
+    nodes = materialize(rows.groupBy("g").agg(first, *[F.min(f).alias(f) for f in fs]), "near-nodes")
+    pairs = materialize(_candidates(nodes), "near-pairs")
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "rep"), "g").select("g", F.col("rep.doc_id").alias("i"), F.col("rep.h").alias("t"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["g", "s"])
+
+    texts = picked.join(needed, picked["doc_id"].eqNullSafe(needed["i"]) & (picked["h"] == needed["t"])).select("g", "text").mapInArrow(sets, "g long, s array<long>")
+    texts = materialize(texts, "near-sets").dropDuplicates(["g"])
+    both = pairs.join(texts.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    verified = both.where((F.size("sa") > 0) & (shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("a", "b")
+    roots = materialize(components(verified).select(F.col("node").alias("g"), "root"), "near-roots")
+
+    member = nodes.select("g", "rep").join(roots, "g", "left").select("g", "rep", F.coalesce("root", "g").alias("root"))
+    chief = member.groupBy("root").agg(F.min("rep").alias("chief"))
+    named = member.join(chief, "root").select("g", "chief")
+    return rows.select("doc_id", "h", "g").join(named, "g").select("doc_id", "h", F.col("chief.doc_id").alias("rep_id"), F.col("chief.h").alias("rep_h"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, with all its columns, without the rows that another one stands for.
+
+    One row of each group stays, the one with the smallest id; rows that repeat an id with the
+    same text are one document, of which one row stays.
+    """
+    found = materialize(near_copies(docs, id_col, text_col, size, similarity).groupBy("doc_id", "h", "rep_id", "rep_h").agg(F.count("*").alias("n")), "near-rows")
+    stays = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))
+    text_hash = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
+
+    def same(keys: DataFrame):
+        return docs[f"`{id_col}`"].eqNullSafe(keys["doc_id"]) & (text_hash == keys["h"])
+
+    gone = found.where(~stays).select("doc_id", "h")
+    repeated = found.where(stays & (F.col("n") > 1)).select("doc_id", "h")
+    if not repeated.limit(1).count():
+        return docs.join(gone, same(gone), "left_anti")
+    other = gone.unionByName(repeated)
+    key = [F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))]
+    once = docs.join(repeated, same(repeated), "left_semi")
+    once = once.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key[0].alias("i"), key[1].alias("t")).groupBy("i", "t").agg(F.first("row").alias("row")).select("row.*")
+    return docs.join(other, same(other), "left_anti").unionByName(once)
