@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import kernels
@@ -23,8 +23,15 @@ from ..plans.features import CORRELATION, FAMILIES, FeaturePlan
 from . import pixels as P
 
 KEY = ["patch_id", "channel"]
-_line = Window.partitionBy(*KEY).orderBy("pos")
-_all = Window.partitionBy(*KEY)
+
+
+def _line() -> WindowSpec:
+    """All pixels of a channel in order; the one window that every neighbour is reached by."""
+    return Window.partitionBy(*KEY).orderBy("pos")
+
+
+def _all() -> WindowSpec:
+    return Window.partitionBy(*KEY)
 
 
 def _y(w: int) -> Column:
@@ -48,7 +55,7 @@ def percentiles(px: DataFrame, h: int, w: int) -> DataFrame:
 
 def differences(px: DataFrame, h: int, w: int) -> DataFrame:
     """``gx, gy`` forward differences on the grid of (h-1) x (w-1)."""
-    right, down = F.lead("v", 1).over(_line), F.lead("v", w).over(_line)
+    right, down = F.lead("v", 1).over(_line()), F.lead("v", w).over(_line())
     out = px.select(*KEY, "pos", (right - F.col("v")).alias("gx"), (down - F.col("v")).alias("gy"))
     return out.where((_y(w) < h - 1) & (_x(w) < w - 1))
 
@@ -96,7 +103,7 @@ def hough(px: DataFrame, h: int, w: int) -> DataFrame:
     diagonal = math.hypot(gh, gw)
     last = math.ceil(diagonal)
     m = differences(px, h, w).select(*KEY, "pos", F.expr(_MAGNITUDE).alias("m"))
-    edges = m.withColumn("cut", F.percentile("m", EDGE_QUANTILE).over(_all)).where(F.col("m") > F.col("cut"))
+    edges = m.withColumn("cut", F.percentile("m", EDGE_QUANTILE).over(_all())).where(F.col("m") > F.col("cut"))
     counted = edges.groupBy(*KEY).agg(F.count("*").cast("double").alias("edges"))
     # 60 angles a pixel: a generator with constants, so no join and no shuffle before the votes
     votes = edges.select(*KEY, _x(w).cast("double").alias("x"), _y(w).cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("k"))
@@ -116,15 +123,15 @@ def hough(px: DataFrame, h: int, w: int) -> DataFrame:
 
 def harris(px: DataFrame, h: int, w: int) -> DataFrame:
     def slope(offset: int, place: Column, size: int) -> Column:
-        before, after = F.lag("v", offset).over(_line), F.lead("v", offset).over(_line)
+        before, after = F.lag("v", offset).over(_line()), F.lead("v", offset).over(_line())
         return F.when(place == 0, after - F.col("v")).when(place == size - 1, F.col("v") - before).otherwise((after - before) / F.lit(2.0))
 
     g = px.select(*KEY, "pos", slope(1, _x(w), w).alias("gx"), slope(w, _y(w), h).alias("gy"))
     g = g.select(*KEY, "pos", *[F.expr(e).alias(n) for n, e in (("xx", "gx * gx"), ("yy", "gy * gy"), ("xy", "gx * gy"))])
 
     def three(c: str, offset: int, place: Column, size: int) -> Column:
-        before = F.when(place == 0, F.col(c)).otherwise(F.lag(c, offset).over(_line))
-        after = F.when(place == size - 1, F.col(c)).otherwise(F.lead(c, offset).over(_line))
+        before = F.when(place == 0, F.col(c)).otherwise(F.lag(c, offset).over(_line()))
+        after = F.when(place == size - 1, F.col(c)).otherwise(F.lead(c, offset).over(_line()))
         return before + F.col(c) + after
 
     products = ("xx", "yy", "xy")
@@ -132,7 +139,7 @@ def harris(px: DataFrame, h: int, w: int) -> DataFrame:
     g = g.select(*KEY, *[(three(c, w, _y(w), h) / F.lit(9.0)).alias(c) for c in products])
     g = g.select(*KEY, F.expr("xx * yy - xy * xy").alias("det"), F.expr("xx + yy").alias("trace"))
     g = g.select(*KEY, "trace", (F.col("det") - F.lit(HARRIS_K) * F.col("trace") * F.col("trace")).alias("r"))
-    g = g.withColumn("cut", F.percentile("trace", 0.5).over(_all))
+    g = g.withColumn("cut", F.percentile("trace", 0.5).over(_all()))
     active = F.col("trace") > F.col("cut")
     return g.groupBy(*KEY).agg(
         (F.count_if(active & (F.col("r") > 0)).cast("double") / (F.count_if(active).cast("double") + F.lit(EPS))).alias("corner_frac"),
@@ -143,7 +150,7 @@ def harris(px: DataFrame, h: int, w: int) -> DataFrame:
 def lbp(px: DataFrame, h: int, w: int) -> DataFrame:
     def bit(dy: int, dx: int) -> Column:
         k = dy * w + dx
-        other = F.lead("v", k).over(_line) if k > 0 else F.lag("v", -k).over(_line)
+        other = F.lead("v", k).over(_line()) if k > 0 else F.lag("v", -k).over(_line())
         return (other > F.col("v")).cast("int")
 
     names = [f"b{k}" for k in range(len(CIRCLE))]
@@ -163,7 +170,7 @@ def lbp(px: DataFrame, h: int, w: int) -> DataFrame:
 def tail(px: DataFrame, h: int, w: int) -> DataFrame:
     x = F.lit(-1.0) + _x(w).cast("double") * F.lit(2.0 / (w - 1))
     y = F.lit(-1.0) + _y(w).cast("double") * F.lit(2.0 / (h - 1))
-    q = px.select(*KEY, "v", x.alias("x"), y.alias("y"), F.percentile("v", [0.25, 0.75]).over(_all).alias("q"))
+    q = px.select(*KEY, "v", x.alias("x"), y.alias("y"), F.percentile("v", [0.25, 0.75]).over(_all()).alias("q"))
     weights = q.select(*KEY, "x", "y", F.greatest(F.col("q")[0] - F.col("v"), F.lit(0.0)).alias("low"), F.greatest(F.col("v") - F.col("q")[1], F.lit(0.0)).alias("high"))
     moments_ = {"m": "1.0D", "x": "x", "y": "y", "xx": "x * x", "yy": "y * y", "xy": "x * y"}
     sums = weights.groupBy(*KEY).agg(*[F.sum(F.expr(f"{side} * ({e})")).alias(f"{side}_{n}") for side in ("low", "high") for n, e in moments_.items()])
