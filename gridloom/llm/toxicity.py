@@ -6,7 +6,7 @@ count. A GRU reads each window in both directions, attention weighs the places,
 output gives the window's logit. A document's score is that of its highest window; windows of
 ``WINDOW`` words overlap by ``WINDOW - STRIDE`` and cover the whole text.
 
-Training runs on the driver over a bounded sample, set by parameters: at most ``PER_CLASS``
+Training is one task over a bounded sample, set by parameters: at most ``PER_CLASS``
 distinct documents a class (smallest salted hashes), one passage of ``PASSAGE`` code points each.
 Labels are of documents, so after two epochs over all windows the network learns from the highest
 window of each document (multiple-instance learning). The model, a few MB whatever the input, is
@@ -22,6 +22,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -374,8 +375,8 @@ def _scorer(shared: _Shared) -> Scorer:
     return _scorers[shared.id]
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], list[int]]:
-    """The bounded training sample: passages and labels, distinct texts only."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """The bounded training sample ``passage, y``: at most PER_CLASS rows a class."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit("pick")), "doc_id")
@@ -383,9 +384,23 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
     # the chosen ids are bounded by PER_CLASS, so the broadcast is
-    found = texts.join(F.broadcast(chosen), "doc_id").select("y", F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"))
-    rows = sorted({(r["passage"], r["y"]) for r in found.collect() if r["passage"]})  # at most PER_CLASS a class
-    return [t for t, _ in rows], [int(y > 0) for _, y in rows]
+    found = texts.join(F.broadcast(chosen), "doc_id").select(F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"), (F.col("y") > 0).cast("int").alias("y"))
+    return found.where(F.col("passage") != "").distinct()
+
+
+def _packed(model: dict[str, Any]) -> bytes:
+    out = io.BytesIO()
+    arrays = {f"p_{k}": v for k, v in model.get("p", {}).items()}
+    np.savez(out, share=model["share"], shift=model.get("shift", 0.0), vocabulary=np.array(model.get("vocabulary", []), dtype=str), **arrays)
+    return out.getvalue()
+
+
+def _unpacked(data: bytes) -> dict[str, Any]:
+    with np.load(io.BytesIO(data)) as z:
+        model: dict[str, Any] = {"share": float(z["share"])}
+        if any(k.startswith("p_") for k in z.files):
+            model |= {"shift": float(z["shift"]), "vocabulary": z["vocabulary"].tolist(), "p": {k[2:]: z[k] for k in z.files if k.startswith("p_")}}
+    return model
 
 
 def score(docs: DataFrame, model: dict[str, Any], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,6 +421,16 @@ def score(docs: DataFrame, model: dict[str, Any], id_col: str = "doc_id", text_c
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[str, Any]:
-    """A model from all rows of labels that may be learned from (see ``held_out``)."""
+    """A model from all rows of labels that may be learned from (see ``held_out``).
+
+    The sample goes to one task, whose size the parameters bound; a lost executor repeats it, with
+    the same result, as rows are sorted and seeds fixed.
+    """
     allowed = labels.where(~held_out(F.col(f"`{id_col}`")))
-    return train(*sample(docs, allowed, id_col, text_col, label_col))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((t, y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(train([t for t, _ in rows], [y for _, y in rows]))], pa.binary())], names=["model"])
+
+    model = sample(docs, allowed, id_col, text_col, label_col).repartition(1).mapInArrow(learn, "model binary").first()
+    return _unpacked(model["model"]) if model else {"share": 0.0}
