@@ -128,3 +128,27 @@ def test_report_data(spark):
     assert coverage_faults(scores, scores.limit(2), ["m", "f"]) == 1
     assert accuracy_table(scores.where("m = 'b'")) == "| m | f | r2 |\n| --- | --- | --- |\n| b | x | 0.5000 |\n"
     assert scores.agg(F.sum("r2")).first()[0] == 1.5
+
+
+def test_embeddings_are_checked(spark, tmp_path):
+    from gridloom.sources.embeddings import embedding_faults, read_embeddings
+
+    good = [(k, k % 2, "train" if k < 4 else "val", [1.0, 2.0]) for k in range(6)]
+    schema = "key long, label int, split string, features array<double>"
+    spark.createDataFrame(good, schema).write.parquet(f"{tmp_path}/good")
+    assert read_embeddings(spark, f"{tmp_path}/good", 2, {"train": 4, "val": 2}).count() == 6
+    bad = [*good, (0, None, "val", [math.nan]), (9, 1, "test", None)]
+    faults = embedding_faults(spark.createDataFrame(bad, schema), 2, {"train": 5})
+    assert len(faults) == 6
+    with pytest.raises(ValueError, match="not 5"):
+        read_embeddings(spark, f"{tmp_path}/good", 2, {"train": 5})
+
+
+def test_command_line(spark, data, tmp_path, capsys):
+    from gridloom.__main__ import main
+
+    assert main(["names", "--preset", "33"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 33
+    S.lattice_patches(D.table(spark, data, "embeddings"), 3).write.parquet(f"{tmp_path}/in")
+    assert main(["extract", "--bands", "red,green,blue", "--zero", "blue", f"{tmp_path}/in", f"{tmp_path}/out"]) == 0
+    assert len(spark.read.parquet(f"{tmp_path}/out").first().features) == 162
