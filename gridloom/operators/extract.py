@@ -40,6 +40,7 @@ def features_of(plan: FeaturePlan, images: np.ndarray) -> np.ndarray:
         if scale:
             level = kernels.pool(level)
         channels = _channels(plan, level, plan.channels_at(scale))
+        memo: dict = {}
         for (family, s), (targets, measures) in plan.groups.items():
             if s != scale:
                 continue
@@ -47,8 +48,7 @@ def features_of(plan: FeaturePlan, images: np.ndarray) -> np.ndarray:
                 for a, b in targets:
                     made["corr", scale, a, b] = kernels.correlation(channels[a], channels[b])
                 continue
-            stack = np.stack([channels[c] for c in targets], axis=1)
-            found = kernels.KERNELS[family](stack.reshape(-1, *stack.shape[2:]), measures)
+            found = kernels.KERNELS[family](kernels.View({c: channels[c] for c in targets}, memo), measures)
             for m in measures:
                 values = found[m].reshape(n, len(targets))
                 made |= {(m, scale, c, None): values[:, k] for k, c in enumerate(targets)}

@@ -47,27 +47,40 @@ def test_wave_has_a_peak():
 
 
 def test_regions_touch_at_corners():
-    m = np.zeros((16, 16), bool)
-    m[0:2, 0:2] = m[2, 2] = m[10:13, 10:13] = True
-    label = k.regions(m[None])[0]
-    assert sorted(np.unique(label[m], return_counts=True)[1]) == [5, 9]
-
-
-def test_regions_against_flood_fill():
-    m = RNG.random((30, 16, 19)) > 0.55
-    label = k.regions(m)
-    for a, b in zip(m, label, strict=True):
-        seen = np.full(a.shape, -1)
+    m = np.zeros((2, 16, 16), bool)
+    m[0, 0:2, 0:2] = m[0, 2, 2] = m[0, 10:13, 10:13] = True
+    image, size = k.region_sizes(m)
+    assert image.tolist() == [0, 0] and sorted(size) == [5, 9]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.45, 0.6, 0.9, 1.0])
+def test_regions_against_flood_fill(share):
+    m = RNG.random((20, 16, 19)) < share
+    image, size = k.region_sizes(m)
+    for n, a in enumerate(m):
+        seen, found = np.zeros(a.shape, bool), []
         for y, x in np.argwhere(a):
-            if seen[y, x] >= 0:
-                continue
-            todo = [(y, x)]
+            todo, cells = [(y, x)], 0
             while todo:
                 p, q = todo.pop()
-                if 0 <= p < 16 and 0 <= q < 19 and a[p, q] and seen[p, q] < 0:
-                    seen[p, q] = y * 19 + x
+                if 0 <= p < 16 and 0 <= q < 19 and a[p, q] and not seen[p, q]:
+                    seen[p, q] = True
+                    cells += 1
                     todo += [(p + i, q + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        assert (seen == b).all()
+            found += [cells] * (cells > 0)
+        assert sorted(size[image == n]) == sorted(found)
+
+
+def test_directions_by_angle():
+    g = RNG.integers(-3, 4, size=(500, 2)).astype(float)
+    x = np.zeros((500, 2, 2))
+    x[:, 0, 1], x[:, 1, 0] = g[:, 0], g[:, 1]
+    angle = np.mod(np.arctan2(g[:, 1], g[:, 0]), np.pi)
+    want = np.minimum(np.floor(angle / (np.pi / 8)), 7).astype(int)
+    held = k._octants(x)
+    moving = np.hypot(*g.T) > 0
+    assert (held.argmax(1)[moving] == want[moving]).all()
+    assert np.allclose(held.sum(1), np.hypot(*g.T))
 
 
 def test_line_votes():
@@ -97,7 +110,7 @@ def test_spectrum_of_oblong_images():
     ys, xs = np.mgrid[:h, :w]
     v = x - x.mean()
     power = np.array([[abs((v * np.exp(-2j * np.pi * (a * ys / h + b * xs / w))).sum()) ** 2 for b in range(w)] for a in range(h)])
-    assert np.allclose(k._power(x[None])[0], power)
+    assert np.allclose(k.View.of(x[None]).power[0], power)
     assert k._radius(h, w)[0, 1] == pytest.approx(0.5) and k._radius(h, w)[1, 0] == pytest.approx(1)
 
 
