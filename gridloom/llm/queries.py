@@ -74,6 +74,38 @@ _WORDS = (
     r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 )
 
+
+
+def _license_sql() -> str:
+    """The diagonal vote in SQL: templates and phrases as values, then joins and windows."""
+    k = licenses.K
+    rows = []
+    for tid, (label, text) in enumerate(licenses.TEMPLATES):
+        w = licenses.template_words(text)
+        rows += [f"({tid}, '{label}', {len(w)}, {t}, '{' '.join(w[t : t + k])}')" for t in range(len(w) - k + 1)]
+    phrases = ", ".join(f"('{label}', '{p}', {len(p.split())})" for p, label in licenses.PHRASES.items())
+    gram = lambda n: f"array_to_string(w[i:i + {n - 1}], ' ')"
+    return f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT doc_id, i - 1 AS pos, {gram(2)} AS g2, {gram(3)} AS g3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+t(tid, label, words, tpos, gram) AS (VALUES {", ".join(rows)}),
+ph(label, phrase, n) AS (VALUES {phrases}),
+base AS (SELECT doc_id, pos, label FROM dw JOIN ph ON phrase = CASE WHEN n = 2 THEN g2 ELSE g3 END),
+v AS (SELECT doc_id, tid, label, words, pos, tpos, pos - tpos AS diag FROM dw JOIN t ON g3 = gram),
+o AS (SELECT DISTINCT doc_id, tid, diag FROM v),
+l AS (SELECT *, diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS gap FROM o),
+g AS (SELECT doc_id, tid, diag, sum(CASE WHEN gap <= {licenses.DIAGONAL_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS grp FROM l),
+m AS (SELECT doc_id, label, CAST(count(DISTINCT tpos) AS DOUBLE) / (words - {k - 1}) AS cover, max(pos) + {k} - min(pos) AS span, words FROM v JOIN g USING (doc_id, tid, diag) GROUP BY doc_id, tid, grp, label, words),
+s AS (SELECT doc_id, label, cover FROM m WHERE cover >= {licenses.MIN_COVER} AND span <= {licenses.MAX_STRETCH} * words + {licenses.DIAGONAL_GAP}),
+b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
+bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM s) GROUP BY doc_id),
+sc AS (SELECT doc_id, max(c) AS score FROM (SELECT doc_id, CAST(1 AS DOUBLE) AS c FROM base UNION ALL SELECT doc_id, cover FROM s) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, CAST(0 AS DOUBLE)) AS score
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN bl USING (doc_id) LEFT JOIN al USING (doc_id) LEFT JOIN sc USING (doc_id)
+"""
+
+
 #: The other operators learn, tokenise, hash with XXH64 or report places of regular expressions,
 #: which DuckDB's SQL can't express; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
@@ -89,4 +121,5 @@ held AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN held USING (doc_id)
 """,
+    "op10_license_scan": _license_sql(),
 }
