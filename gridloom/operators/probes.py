@@ -18,6 +18,7 @@ from .heads import Head, NotConverged, argmax, classification_metrics, fit_prepa
 PROBE_CS = tuple(float(c) for c in np.logspace(-4, 8, 13))
 BETAS = (0.0, 0.25, 1.0, 4.0)
 BUDGET = 8000
+LINEAR_PROBE_CS = tuple(float(c) for c in np.logspace(-6, 4, 40))
 
 
 @dataclass
@@ -170,6 +171,13 @@ def paired_bootstrap(df: DataFrame, key: str, values: list[str], draws: int = 20
     return means.agg(*[x for v in values for x in (q[v][0].alias(f"{v}_ci_low"), q[v][1].alias(f"{v}_ci_high"))])
 
 
+def accuracy_interval(predicted: DataFrame, key: str, label: str = "label", prediction: str = "prediction", draws: int = 200, seed: int = 0) -> DataFrame:
+    """``accuracy`` of one head and its 95 % interval over row resamples."""
+    right = predicted.select(key, (F.col(label) == F.col(prediction)).cast("double").alias("accuracy"))
+    whole = right.agg(F.avg("accuracy").alias("accuracy")).withColumn("_one", F.lit(1))
+    return whole.join(paired_bootstrap(right, key, ["accuracy"], draws, seed).withColumn("_one", F.lit(1)), "_one").drop("_one")  # one row each
+
+
 def outcomes(df: DataFrame, label: str, probabilities: str, tag: str) -> DataFrame:
     """``df`` with whether a head is right on each row and its loss: ``<tag>_right, <tag>_loss``."""
     return df.withColumns({f"{tag}_right": argmax(F.col(probabilities)) == F.col(label), f"{tag}_loss": log_loss(F.get(F.col(probabilities), F.col(label)))})

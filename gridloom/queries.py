@@ -488,6 +488,16 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(Q.paired_bootstrap(rows, "vec_id", ["accuracy", "log_loss"], N_DRAWS))
 
 
+@query(
+    "accuracy_interval",
+    f"WITH {BEST}, tx AS (SELECT vec_id, CAST(CAST(label = prediction AS INT) AS DOUBLE) AS a FROM bp WHERE split = 'test'), n AS (SELECT count(*) AS n FROM tx), {_draws_sql('n')}, rk AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM tx), "
+    f"m AS (SELECT draw, sum(k * a) / max(n.n) AS a FROM mult JOIN rk USING (row), n GROUP BY draw) SELECT round((SELECT avg(a) FROM tx), 6) + 0.0 AS accuracy, {O.rounded({'accuracy_ci_low': 'quantile_cont(a, 0.025)', 'accuracy_ci_high': 'quantile_cont(a, 0.975)'})} FROM m",
+)
+def accuracy_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = H.predict(part(z_split(spark, sf_dir), "test"), literal_head(), "embedding")
+    return rounded(Q.accuracy_interval(rows, "vec_id", draws=N_DRAWS))
+
+
 P_VALUES = [0.01, 0.04, 0.03, 0.005, 0.2, 0.04]
 
 
