@@ -24,11 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 PER_LANG = 300
 PASSAGE = 240
 DICT_BYTES = 1 << 17
 BLOCK = 512
 LEVEL = 9
+#: The sample's keys are broadcast up to so many rows.
+BROADCAST_ROWS = 200_000
 #: Rejected if (second - best) / second is below this.
 MIN_MARGIN = 0.002
 UND = "und"
@@ -41,6 +45,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def smallest_draws(keys: DataFrame, group: str, key: str, many: dict, k: int) -> DataFrame:
+    """The k rows of each group with the smallest salted hashes of ``key``.
+
+    ``many`` has the rows of each group. A hash below 4 k / n of its range is a candidate (all
+    are, in a group of 4 k rows or less), so about 4 k rows a group are ranked, however large it is.
+    """
+    draw = F.xxhash64(key, F.lit("pick"))
+    rows = keys.withColumn("draw", draw)
+    likely = F.lit(False)
+    for value, n in many.items():
+        share = min(1.0, 4 * k / n)
+        likely = likely | ((F.col(group) == F.lit(value)) & (F.lit(share >= 1) | (F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))))
+    by = Window.partitionBy(group).orderBy(F.pmod("draw", F.lit(1 << 30)), "draw", key)
+    return rows.where(likely).withColumn("k", F.row_number().over(by)).where(F.col("k") <= k).select(group, key)
+
+
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, bytes]]:
     """Dictionaries from the labelled rows given, the language with most distinct texts first.
 
@@ -48,10 +68,12 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> lis
     """
     rows = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    # copies teach once: only hashes are grouped, and the limit by rank is applied before the shuffle
-    keys = hashed.select("lang", "h").distinct().withColumn("draw", F.xxhash64("h", F.lit("pick")))
+    # copies teach once: only hashes are grouped
+    keys = materialize(hashed.select("lang", "h").distinct(), "langid-keys")
     many = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    chosen = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "h"))).where(F.col("k") <= PER_LANG).select("lang", "h")
+    chosen = smallest_draws(keys, "lang", "h", many, PER_LANG)
+    if PER_LANG * len(many) <= BROADCAST_ROWS:
+        chosen = F.broadcast(chosen)
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
     passages = (
         hashed.join(chosen, ["lang", "h"], "left_semi")
