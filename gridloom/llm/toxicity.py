@@ -30,10 +30,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .langid import _Shared
+from .common import materialize
+from .langid import _Shared, smallest_draws
 
 WINDOW, STRIDE = 48, 32
 PER_CLASS = 1500
@@ -378,13 +379,14 @@ def _scorer(shared: _Shared) -> Scorer:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The bounded training sample ``passage, y``: at most PER_CLASS rows a class."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
-    marked = marked.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
-    by = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit("pick")), "doc_id")
-    chosen = marked.withColumn("k", F.row_number().over(by)).where(F.col("k") <= PER_CLASS).select("doc_id", "y")
+    marked = marked.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
+    marked = materialize(marked, "toxicity-labels")
+    many = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a label value
+    chosen = smallest_draws(marked, "y", "doc_id", many, PER_CLASS)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
     # the chosen ids are bounded by PER_CLASS, so the broadcast is
-    found = texts.join(F.broadcast(chosen), "doc_id").select(F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"), (F.col("y") > 0).cast("int").alias("y"))
+    found = texts.join(F.broadcast(chosen), "doc_id").select(F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"), "y")
     return found.where(F.col("passage") != "").distinct()
 
 
