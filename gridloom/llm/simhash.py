@@ -453,7 +453,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["g", "s"])
 
     texts = picked.join(needed, picked["doc_id"].eqNullSafe(needed["i"]) & (picked["h"] == needed["t"])).select("g", "text").mapInArrow(sets, "g long, s array<long>")
-    texts = materialize(texts, "near-sets").dropDuplicates(["g"])
+    # stored after the repeats are gone: the joins below then read plain tables, whose hot keys can be split
+    texts = materialize(texts.dropDuplicates(["g"]), "near-sets")
     both = pairs.join(texts.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     verified = both.where((F.size("sa") > 0) & (shared >= similarity * (F.size("sa") + F.size("sb") - shared))).select("a", "b")
