@@ -17,11 +17,13 @@ hash; rows with a null id come last; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,14 +147,17 @@ def _with_next(docs: DataFrame) -> DataFrame:
     probabilities = [i / n for i in range(1, n)]
     bounds = keyed.select(F.col("key").cast("double").alias("key")).approxQuantile("key", probabilities, 0.2 / n) if probabilities else []
     bounds = sorted(set(bounds))
-    # the number of bounds below a key, by binary search in an array literal
-    bucket = _bucket(F.col("key").cast("double"), bounds)
-    heads = {r["bucket"]: r["head"] for r in keyed.select(bucket.alias("bucket"), "key").groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # a row a range
+    if bounds:  # a binary search in the sorted bounds, whatever their number
+        ranges = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="place", outputCol="bucket")
+        keyed = ranges.transform(keyed.withColumn("place", F.col("key").cast("double"))).withColumn("bucket", F.col("bucket").cast("int"))
+    else:
+        keyed = keyed.withColumn("bucket", F.lit(0))
+    heads = {r["bucket"]: r["head"] for r in keyed.select("bucket", "key").groupBy("bucket").agg(F.max("key").alias("head")).collect()}  # a row a range
     order = sorted(heads, reverse=True)
     to = [(heads[b], order[i - 1]) for i, b in enumerate(order)]  # the first range's head goes round to the last
     borrowed = spark.createDataFrame(to, "head long, target int")
     dealt = (
-        keyed.select("doc_id", "text", "key", bucket.alias("bucket"))
+        keyed.select("doc_id", "text", "key", "bucket")
         .join(F.broadcast(borrowed), F.col("key") == F.col("head"), "left")
         .withColumn("to", F.explode(F.filter(F.array(F.struct("bucket", F.lit(0).alias("late")), F.struct(F.col("target").alias("bucket"), F.lit(1).alias("late"))), lambda x: x["bucket"].isNotNull())))
         .select("doc_id", "text", "key", F.col("to.bucket").alias("bucket"), F.col("to.late").alias("late"))
@@ -160,18 +165,6 @@ def _with_next(docs: DataFrame) -> DataFrame:
     return dealt.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "late", F.desc("key"), F.xxhash64("text"))
 
 
-def _bucket(key, bounds: list[float]):
-    """Nested comparisons (depth log2): which range of sorted bounds a key falls into."""
-
-    def cut(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], cut(lo, mid)).otherwise(cut(mid + 1, hi))
-
-    return cut(0, len(bounds))
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: fingerprints of the text and of its edited text, and their likeness.
 
