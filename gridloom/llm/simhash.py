@@ -3,13 +3,15 @@
 Fingerprints. A document's words (ASCII lower-cased, cut at white space) form shingles; each is
 hashed by XXH64, and a bit of the fingerprint is set if it is set in over half of the hashes.
 
-Anchors. Places of the fingerprint are cut into blocks of 23 bits, and in each block the perfect
-binary Golay code [23, 12] of covering radius 3 gives the anchors: every word lies within 3 bits
-of exactly one code word. If x and y differ in at most t bits, the anchor of x, which is within 3
-of x in each block, is within 3 + e_i of y in block i for some e_1 + e_2 + .. <= t. So each
-fingerprint has one home anchor, and is replicated to every anchor within 3 + e_i of it with
-e_1 + e_2 <= t; a pair within t bits meets at the home anchor of either. Two blocks give 2^24
-anchors and about 61 replicas for t = 2.
+Anchors. Places of the fingerprint are cut into blocks, and in each block a perfect code gives the
+anchors: every word lies within the covering radius R of exactly one code word (Golay [23, 12],
+R = 3; Hamming [15, 11], R = 1). If x and y differ in at most t bits, the anchor of x, which is
+within R of x in each block, is within R + e_i of y in block i for some e_1 + e_2 + .. <= t. So each
+fingerprint has one home anchor, and is replicated to every anchor within R + e_i of it with
+e_1 + e_2 + .. <= t; a pair within t bits meets at the home anchor of either. Two Golay blocks give
+2^24 anchors and about 61 replicas for t = 2; from ``MANY`` distinct fingerprints on, a Hamming block
+on the next 15 bits makes it 2^35 anchors and about 150 replicas, so that anchors stay small.
+Either layout finds exactly the same links.
 
 Comparison per anchor. Only distinct fingerprints are replicated (copies are one row). Rows are
 dealt by anchor and streamed in anchor order; home rows are compared with the rows of their
@@ -29,6 +31,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,10 +43,24 @@ from .common import materialize, release
 from .components import components
 
 SEED = 42
-BLOCK = 23
-RADIUS = 3
-#: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
-GOLAY = 0b110001110101
+
+
+class Code(NamedTuple):
+    """A perfect cyclic code: length, generator polynomial, covering radius."""
+
+    length: int
+    generator: int
+    radius: int
+
+    @property
+    def checks(self) -> int:
+        return self.generator.bit_length() - 1
+
+
+GOLAY = Code(23, 0b110001110101, 3)  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
+HAMMING = Code(15, 0b10011, 1)  # x^4 + x + 1
+#: Distinct fingerprints from which on anchors have a third block.
+MANY = 1 << 26
 #: An anchor with more fingerprints than this is searched by points of radius one.
 PAIRWISE_UP_TO = 64
 
@@ -96,66 +114,60 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 @cache
-def _syndromes() -> np.ndarray:
-    """Syndrome of each single bit of a block."""
+def _syndromes(code: Code) -> np.ndarray:
+    """Remainder by the generator of each single bit of a block."""
     out = []
-    for i in range(BLOCK):
+    for i in range(code.length):
         r = 1 << i
-        for k in range(BLOCK - 1, 10, -1):
+        for k in range(code.length - 1, code.checks - 1, -1):
             if r >> k & 1:
-                r ^= GOLAY << (k - 11)
+                r ^= code.generator << (k - code.checks)
         out.append(r)
     return np.array(out, np.int64)
 
 
 @cache
-def _patterns(extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Error patterns of weight <= RADIUS + extra by syndrome: start (2049), pattern, extra bits."""
-    from itertools import combinations
-
-    s = _syndromes()
+def _patterns(code: Code, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Error patterns of weight <= radius + extra by syndrome: starts, patterns, extra bits."""
+    s = _syndromes(code)
     pats, syns, more = [], [], []
-    for w in range(RADIUS + extra + 1):
-        c = np.array(list(combinations(range(BLOCK), w)), np.int64) if w else np.zeros((1, 0), np.int64)
+    for w in range(code.radius + extra + 1):
+        c = np.array(list(combinations(range(code.length), w)), np.int64) if w else np.zeros((1, 0), np.int64)
         pats.append((np.int64(1) << c).sum(1, dtype=np.int64))
         syns.append(np.bitwise_xor.reduce(s[c], axis=1) if w else np.zeros(1, np.int64))
-        more.append(np.full(len(c), max(0, w - RADIUS), np.int64))
+        more.append(np.full(len(c), max(0, w - code.radius), np.int64))
     p, y, m = map(np.concatenate, (pats, syns, more))
     order = np.lexsort((m, y))
-    return np.searchsorted(y[order], np.arange(2049)), p[order], m[order]
-
-
-def _syndrome(x: np.ndarray) -> np.ndarray:
-    out = np.zeros_like(x)
-    for i, s in enumerate(_syndromes()):
-        out ^= np.where(x >> i & 1, s, 0)
-    return out
+    return np.searchsorted(y[order], np.arange((1 << code.checks) + 1)), p[order], m[order]
 
 
-def _block_anchors(x: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, extra bits) of every code word within RADIUS + extra of each row's block."""
-    start, pats, more = _patterns(extra)
-    y = _syndrome(x)
+def _block_anchors(code: Code, x: np.ndarray, extra: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, extra bits) of every code word within radius + extra of each row's block."""
+    start, pats, more = _patterns(code, extra)
+    y = np.zeros_like(x)
+    for i, s in enumerate(_syndromes(code)):
+        y ^= np.where(x >> i & 1, s, 0)
     n = start[y + 1] - start[y]
     row = np.repeat(np.arange(len(x)), n)
     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[y], n)
-    return row, (x[row] ^ pats[k]) >> 11, more[k]  # the upper 12 bits name the code word
+    return row, (x[row] ^ pats[k]) >> code.checks, more[k]  # the message bits name the code word
 
 
-def anchors(fps: np.ndarray, bits: int, blocks: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, home) of all replicas; home marks the one anchor within RADIUS in each block."""
+def anchors(fps: np.ndarray, bits: int, codes: tuple[Code, ...] = (GOLAY, GOLAY)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, home) of all replicas; home marks the one anchor within the radius in each block."""
     u = fps.view(np.uint64)
-    row, anchor, used = np.arange(len(u)), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
-    for k in range(blocks):
-        x = (u >> np.uint64(BLOCK * k) & np.uint64((1 << BLOCK) - 1)).astype(np.int64)
-        r, a, m = _block_anchors(x, bits)
+    row, anchor, used, at = np.arange(len(u)), np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), 0
+    for code in codes:
+        x = (u >> np.uint64(at) & np.uint64((1 << code.length) - 1)).astype(np.int64)
+        at += code.length
+        r, a, m = _block_anchors(code, x, bits)
         first = np.searchsorted(r, np.arange(len(u) + 1))
         n = (first[1:] - first[:-1])[row]
         old = np.repeat(np.arange(len(row)), n)
         new = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[:-1][row], n)
         keep = used[old] + m[new] <= bits
         old, new = old[keep], new[keep]
-        row, anchor, used = row[old], anchor[old] << 12 | a[new], used[old] + m[new]
+        row, anchor, used = row[old], anchor[old] << (code.length - code.checks) | a[new], used[old] + m[new]
     return row, anchor, used == 0
 
 
@@ -234,15 +246,17 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int) ->
     return _forest(np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
-def links(distinct: DataFrame, bits: int = 2, blocks: int = 2) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = None) -> DataFrame:
     """``a, b``: a set of links whose components are those of all pairs within ``bits``."""
+    if codes is None:
+        codes = (GOLAY, GOLAY, HAMMING) if distinct.count() >= MANY else (GOLAY, GOLAY)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for k in range(0, len(fps), 1024):
                 part = fps[k : k + 1024]
-                row, anchor, home = anchors(part, bits, blocks)
+                row, anchor, home = anchors(part, bits, codes)
                 yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(part[row]), pa.array(home)], names=["anchor", "fp", "home"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,12 +287,12 @@ def links(distinct: DataFrame, bits: int = 2, blocks: int = 2) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def linked(prints: DataFrame, bits: int = 2, blocks: int = 2) -> DataFrame:
+def linked(prints: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` of a table ``doc_id, fp``; linking by the fingerprint alone."""
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     groups = materialize(groups, "simhash-groups")
     # the roots of components are fingerprints; their smallest ids name the components
-    roots = components(links(groups.select("fp"), bits, blocks))
+    roots = components(links(groups.select("fp"), bits, codes))
     roots = materialize(roots.select(F.col("node").alias("fp"), "root"), "simhash-roots")
     member = groups.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -298,30 +312,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # At a similarity of 0.8 in five-word shingles a 64-bit fingerprint differs in about ten bits, too
 # many for one search within the radius plus threshold. So the candidates come from a wider
 # fingerprint of the distinct words, which an edited word moves least (about 0.06 of its bits at
-# that similarity, against 0.36 and more between unrelated texts): it has eight blocks, each
-# decoded to its code word, and stands under the anchors of all 28 pairs of blocks. Two documents
-# meet if two of their eight blocks have the same code words. Candidates are compared per anchor,
-# thinned to a minimum spanning forest of real pairs, and decided by their exact Jaccard
-# similarity, so that only verified links join documents.
+# that similarity, against 0.36 and more between unrelated texts): with three 64-bit words it has
+# eight blocks, each decoded to its code word, and stands under the anchors of all 28 pairs of
+# blocks. Two documents meet if two of their eight blocks have the same code words. Candidates are
+# compared per anchor, thinned to a minimum spanning forest of real pairs, and decided by their
+# exact Jaccard similarity, so that only verified links join documents.
+#
+# Anchors of two blocks are 2^24 a pair; beyond some 10^8 distinct texts pass wide=4, together=3
+# (eleven blocks, 165 anchors of 2^36), which keeps anchors small at about the same recall.
 
 WIDE = 3  #: 64-bit words of the wide fingerprint
-WIDE_BLOCKS = 64 * WIDE // BLOCK
-WIDE_BITS = 26  #: most differing bits of a candidate pair
-_PAIRS = [(i, j) for i in range(WIDE_BLOCKS) for j in range(i)]
+TOGETHER = 2  #: blocks that make an anchor
+WIDE_SHARE = 0.14  #: most differing bits of a candidate pair, as a share
 
 
-def wide_fingerprint(text: str | None) -> tuple[int, list[int]]:
-    """(hash of the normalised word sequence, SimHash of the distinct words as WIDE integers)."""
+def wide_fingerprint(text: str | None, wide: int = WIDE) -> tuple[int, list[int]]:
+    """(hash of the normalised word sequence, SimHash of the distinct words as ``wide`` integers)."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     name = xxhash.xxh64_intdigest(b" ".join(words), SEED)
     if not words:
-        return name, [0] * WIDE
+        return name, [0] * wide
     distinct = set(words)
     h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
     out = []
-    for k in range(WIDE):
+    for k in range(wide):
         x = h + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -332,14 +348,16 @@ def wide_fingerprint(text: str | None) -> tuple[int, list[int]]:
 
 
 def _wide_blocks(f: np.ndarray) -> np.ndarray:
-    """Code words (12 bits) of the eight blocks of fingerprints (n, WIDE)."""
+    """Code words (12 bits) of all whole blocks of fingerprints (n, words)."""
     bits = np.unpackbits(np.ascontiguousarray(f).view(np.uint8).reshape(len(f), -1), axis=1, bitorder="little")
-    weights = 1 << np.arange(BLOCK, dtype=np.int64)
-    return np.stack([_block_anchors(bits[:, k * BLOCK : (k + 1) * BLOCK].astype(np.int64) @ weights, 0)[1] for k in range(WIDE_BLOCKS)], axis=1)
+    n = GOLAY.length
+    weights = 1 << np.arange(n, dtype=np.int64)
+    return np.stack([_block_anchors(GOLAY, bits[:, k * n : (k + 1) * n].astype(np.int64) @ weights, 0)[1] for k in range(bits.shape[1] // n)], axis=1)
 
 
 def _candidate_forest(name: np.ndarray, f: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs of one anchor within WIDE_BITS that connect it; real pairs, closest first."""
+    """Pairs of one anchor within WIDE_SHARE that connect it; real pairs, closest first."""
+    most = int(WIDE_SHARE * 64 * f.shape[1])
     name, at = np.unique(name, return_index=True)
     f = f[at]
     a, b = [], []
@@ -347,14 +365,14 @@ def _candidate_forest(name: np.ndarray, f: np.ndarray) -> tuple[list[int], list[
         rest = np.arange(len(name))
         while len(rest) > 1:  # a large group: stars around leaders, one pass a leader
             d = np.bitwise_count(f[rest[1:]] ^ f[rest[0]]).sum(1, dtype=np.int64)
-            near = d <= WIDE_BITS
+            near = d <= most
             a += [int(name[rest[0]])] * int(near.sum())
             b += name[rest[1:][near]].tolist()
             rest = rest[1:][~near]
         return a, b
     i, j = np.triu_indices(len(name), 1)
     d = np.bitwise_count(f[i] ^ f[j]).sum(1, dtype=np.int64)
-    hit = np.flatnonzero(d <= WIDE_BITS)
+    hit = np.flatnonzero(d <= most)
     root = list(range(len(name)))
 
     def find(x: int) -> int:
@@ -372,17 +390,22 @@ def _candidate_forest(name: np.ndarray, f: np.ndarray) -> tuple[list[int], list[
     return a, b
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
+def _candidates(nodes: DataFrame, wide: int, together: int) -> DataFrame:
     """``a, b`` (names) of candidate pairs of a table ``g, f0, f1, ..``."""
-    fs = [f"f{k}" for k in range(WIDE)]
+    fs = [f"f{k}" for k in range(wide)]
+    sets = list(combinations(range(64 * wide // GOLAY.length), together))
     names = ["anchor", "g", *fs]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            blocks = _wide_blocks(np.stack(cols[1:], axis=1).view(np.uint64)) if len(batch) else np.zeros((0, WIDE_BLOCKS), np.int64)
-            for k, (i, j) in enumerate(_PAIRS):
-                key = np.int64(k) << 24 | blocks[:, i] << 12 | blocks[:, j]
+            if not len(batch):
+                continue
+            blocks = _wide_blocks(np.stack(cols[1:], axis=1).view(np.uint64))
+            for k, chosen in enumerate(sets):
+                key = np.full(len(batch), k, np.int64)
+                for i in chosen:
+                    key = key << 12 | blocks[:, i]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,7 +442,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, wide: int = WIDE, together: int = TOGETHER) -> DataFrame:
     """Per row: ``doc_id, h`` (hash of the text) and the document that stands for its group.
 
     Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is
@@ -428,14 +451,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row with the smallest id of the group (null ids last). Candidates are found by fingerprints,
     so a pair near the threshold may be missed; no pair below it is ever linked.
     """
-    fs = [f"f{k}" for k in range(WIDE)]
+    fs = [f"f{k}" for k in range(wide)]
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [wide_fingerprint(t.as_py()) for t in b.column(2)]
-            cols = np.array([[g, *f] for g, f in made], np.uint64).reshape(-1, 1 + WIDE).view(np.int64)
+            made = [wide_fingerprint(t.as_py(), wide) for t in b.column(2)]
+            cols = np.array([[g, *f] for g, f in made], np.uint64).reshape(-1, 1 + wide).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(c)) for c in cols.T)], names=["doc_id", "h", "g", *fs])
 
     rows = materialize(
@@ -443,7 +466,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("rep")
     nodes = materialize(rows.groupBy("g").agg(first, *[F.min(f).alias(f) for f in fs]), "near-nodes")
-    pairs = materialize(_candidates(nodes), "near-pairs")
+    pairs = materialize(_candidates(nodes, wide, together), "near-pairs")
 
     needed = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct().join(nodes.select("g", "rep"), "g").select("g", F.col("rep.doc_id").alias("i"), F.col("rep.h").alias("t"))
 
@@ -466,13 +489,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", "h", "g").join(named, "g").select("doc_id", "h", F.col("chief.doc_id").alias("rep_id"), F.col("chief.h").alias("rep_h"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, wide: int = WIDE, together: int = TOGETHER) -> DataFrame:
     """docs, with all its columns, without the rows that another one stands for.
 
     One row of each group stays, the one with the smallest id; rows that repeat an id with the
     same text are one document, of which one row stays.
     """
-    found = materialize(near_copies(docs, id_col, text_col, size, similarity).groupBy("doc_id", "h", "rep_id", "rep_h").agg(F.count("*").alias("n")), "near-rows")
+    found = materialize(near_copies(docs, id_col, text_col, size, similarity, wide, together).groupBy("doc_id", "h", "rep_id", "rep_h").agg(F.count("*").alias("n")), "near-rows")
     stays = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))
     text_hash = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
 

@@ -133,17 +133,28 @@ def test_fingerprint_by_definition(odd_texts):
         assert simhash.fingerprint(text, 3) == brute_fingerprint(text, 3)
 
 
-def test_syndrome_table_is_that_of_a_perfect_code():
-    start, pats, extra = simhash._patterns(0)
-    assert len(pats) == 1 << 11 and (np.diff(start) == 1).all()  # each word is within 3 bits of one code word
-    words = np.random.default_rng(0).integers(0, 1 << 23, 500)
-    _, anchor, _ = simhash._block_anchors(words, 0)
-    for other in range(23):
-        _, moved, _ = simhash._block_anchors(words ^ (1 << other), 1)
-        row, reach, _ = simhash._block_anchors(words ^ (1 << other), 1)
+@pytest.mark.parametrize("code", [simhash.GOLAY, simhash.HAMMING])
+def test_codes_are_perfect(code):
+    start, pats, _ = simhash._patterns(code, 0)
+    assert len(pats) == 1 << code.checks and (np.diff(start) == 1).all()  # each word is within the radius of one code word
+    words = np.random.default_rng(0).integers(0, 1 << code.length, 500)
+    _, anchor, _ = simhash._block_anchors(code, words, 0)
+    for other in range(code.length):
+        row, reach, _ = simhash._block_anchors(code, words ^ (1 << other), 1)
         assert all(anchor[k] in reach[row == k] for k in range(0, 500, 50))
 
 
+@pytest.mark.parametrize("codes", [(simhash.GOLAY, simhash.GOLAY), (simhash.GOLAY, simhash.GOLAY, simhash.HAMMING)])
+def test_pairs_within_two_bits_meet_at_the_home_of_either(codes):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**63, 200, dtype=np.uint64)
+    y = x ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200, dtype=np.uint64))
+    (rx, ax, hx), (ry, ay, hy) = (simhash.anchors(v.view(np.int64), 2, codes) for v in (x, y))
+    for k in range(200):
+        assert hx[rx == k].sum() == hy[ry == k].sum() == 1
+        assert set(ax[(rx == k) & hx]) <= set(ay[ry == k]) and set(ay[(ry == k) & hy]) <= set(ax[rx == k])
+
+
 def test_near_duplicates_of_odd_texts(make, odd_texts):
     found = {r.doc_id: r for r in simhash.near_duplicates(make(odd_texts, clash=True)).collect()}
     fps = [brute_fingerprint(t, 3) for t in odd_texts[:15]] + [simhash.fingerprint(t, 3) for t in odd_texts[15:]]
@@ -153,7 +164,8 @@ def test_near_duplicates_of_odd_texts(make, odd_texts):
     assert found[0].fingerprint == "0" * 16
 
 
-def test_linking_against_all_pairs(spark):
+@pytest.mark.parametrize("codes", [None, (simhash.GOLAY, simhash.GOLAY, simhash.HAMMING)])
+def test_linking_against_all_pairs(spark, codes):
     rng = np.random.default_rng(3)
     fps = []
     for base in rng.integers(0, 2**63, 12, dtype=np.uint64):
@@ -166,7 +178,7 @@ def test_linking_against_all_pairs(spark):
     fps += fps[:30]
     fps += [0, 0, 1, 7]
     rows = [(k, int(np.array([f], np.uint64).view(np.int64)[0])) for k, f in enumerate(fps)]
-    found = {r.doc_id: r.component_id for r in simhash.linked(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.linked(spark.createDataFrame(rows, "doc_id long, fp long"), codes=codes).collect()}
     assert [found[k] for k in range(len(fps))] == brute_components(fps, list(range(len(fps))))
 
 
@@ -203,7 +215,8 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make):
+@pytest.mark.parametrize(("wide", "together"), [(3, 2), (4, 3)])
+def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make, wide, together):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     texts = [" ".join(word() for _ in range(rng.randint(120, 300))) for _ in range(60)]
@@ -220,7 +233,7 @@ def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make):
         family.append(" ".join(w))
     far = [" ".join(t.split()[:60] + [word() for _ in range(60)]) for t in texts[30:40]]  # similar, but not enough
     all_ = texts + copies + family + far + texts[:3] + ["", None, "Short One", "short  one"]
-    kept = {r.doc_id for r in simhash.deduplicate(make(all_, clash=True)).collect()}
+    kept = {r.doc_id for r in simhash.deduplicate(make(all_, clash=True), wide=wide, together=together).collect()}
     sets = [shingles(t) for t in all_]
     root = list(range(len(all_)))
 
