@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.draws import multiplicities, positions
-from .gram import gram
+from .gram import add_parts, gram
 
 # Fixed values of the study.
 ALPHAS = tuple(float(a) for a in np.logspace(-8, 4, 13))
@@ -196,22 +196,41 @@ def _interval(values: DataFrame, name: str) -> DataFrame:
 def bootstrap_statistics(rows: DataFrame, key: str, y: str, value: str, draws: int = 200, seed: int = 0) -> DataFrame:
     """``draw, numerator, denominator``: resampled sums of ``value`` and of squares of y.
 
-    Each draw has its own target mean. Rows are joined with their multiplicities, so what is
-    shuffled is (draw, row) counts, never resampled rows; squares are taken about the mean of y.
+    Each draw has its own target mean. A row meets the list of draws that take it, with how often
+    (at most ``draws`` entries), and a task adds up one vector per draw: neither resampled rows nor
+    (draw, row, position) values are ever made. Squares are taken about the mean of y.
     """
+    from .alignment import position_stats
+
     n = rows.count()
-    ranked = positions(rows.select(key, y, value), [key], name="rank").withColumn("row", F.col("rank") - 1)
-    e = ranked.select("row", F.posexplode(y).alias("pos", "v"))
-    centre = e.groupBy("pos").agg(F.avg("v").alias("c"))
-    e = e.join(F.broadcast(centre), "pos").select("row", "pos", (F.col("v") - F.col("c")).alias("v"))
-    times = multiplicities(rows, "row", n, draws, seed)
-    by_pos = times.join(e, "row").groupBy("draw", "pos").agg(F.sum(F.col("n") * F.col("v")).alias("s"), F.sum(F.col("n") * F.col("v") * F.col("v")).alias("q"))
-    spread = by_pos.groupBy("draw").agg((F.sum("q") - F.sum(F.col("s") * F.col("s")) / F.lit(float(n))).alias("denominator"))
-    top = times.join(ranked.select("row", value), "row").groupBy("draw").agg(F.sum(F.col("n") * F.col(value)).alias("numerator"))
+    centre = np.array([r["mean"] for r in sorted(position_stats(rows, y).collect(), key=lambda r: r["pos"])], float)
+    ranked = positions(rows.select(key, F.col(y).alias("y"), F.col(value).alias("value")), [key], name="rank").withColumn("row", F.col("rank") - 1)
+    taken_by = F.collect_list(F.struct(F.col("draw").cast("int").alias("d"), F.col("n").cast("double").alias("n")))
+    times = multiplicities(rows, "row", n, draws, seed).groupBy("row").agg(taken_by.alias("t"))
+    both = ranked.join(times, "row").select("y", "value", F.transform("t", lambda t: t["d"]).alias("ds"), F.transform("t", lambda t: t["n"]).alias("ns"))
+    shared = rows.sparkSession.sparkContext.broadcast(centre)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros((draws, 2 + len(shared.value)))  # squares, values, and a sum per position
+        for b in batches:
+            if not len(b):
+                continue
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1) - shared.value
+            sizes = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            taken = np.zeros((draws, len(b)))
+            taken[b.column(2).flatten().to_numpy(), np.repeat(np.arange(len(b)), sizes)] = b.column(3).flatten().to_numpy()
+            total += taken @ np.column_stack([(x * x).sum(1), b.column(1).to_numpy(zero_copy_only=False), x])
+        part = pa.array(np.full(draws, TaskContext.get().partitionId()), pa.int32())
+        yield pa.RecordBatch.from_arrays([part, pa.array(np.arange(draws), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["part", "i", "v"])
+
+    sums = add_parts(both.mapInArrow(add, "part int, i int, v array<double>"))
+    square, v = F.get("v", F.lit(0)), F.slice("v", 3, max(1, len(centre)))
+    spread = square - F.aggregate(v, F.lit(0.0), lambda a, s: a + s * s) / F.lit(float(n))
     # what rounding leaves of a constant resample is no spread
-    scale = by_pos.groupBy("draw").agg(F.sum("q").alias("q"))
-    out = top.join(spread, "draw").join(scale, "draw")
-    return out.select("draw", "numerator", F.when(F.col("denominator") > 64 * 2.220446049250313e-16 * F.col("q"), F.col("denominator")).otherwise(0.0).alias("denominator"))
+    spread = F.when(spread > 64 * 2.220446049250313e-16 * square, spread).otherwise(0.0)
+    return sums.select(F.col("i").alias("draw"), F.get("v", F.lit(1)).alias("numerator"), spread.alias("denominator"))
 
 
 def squared_error(y: str, predicted: str):

@@ -35,6 +35,12 @@ def gram_rows(df: DataFrame, x: str, y: str) -> DataFrame:
 
     parts = df.select(F.col(x).alias("a"), F.col(y).alias("c")).mapInPandas(partial, "part int, i int, v array<double>")
 
+    return add_parts(parts)
+
+
+def add_parts(parts: DataFrame) -> DataFrame:
+    """``i, v``: the sums of arrays ``part, i, v`` by i, first among about the root of the parts."""
+
     def added(key: list[str]):
         def add(group: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({**{k: [group[k].iloc[0]] for k in key}, "v": [np.sum(np.stack(group["v"].to_numpy()), axis=0)]})
