@@ -103,22 +103,22 @@ def hough(px: DataFrame, h: int, w: int) -> DataFrame:
     diagonal = math.hypot(gh, gw)
     last = math.ceil(diagonal)
     m = differences(px, h, w).select(*KEY, "pos", F.expr(_MAGNITUDE).alias("m"))
-    edges = m.withColumn("cut", F.percentile("m", EDGE_QUANTILE).over(_all())).where(F.col("m") > F.col("cut"))
-    counted = edges.groupBy(*KEY).agg(F.count("*").cast("double").alias("edges"))
-    # 60 angles a pixel: a generator with constants, so no join and no shuffle before the votes
-    votes = edges.select(*KEY, _x(w).cast("double").alias("x"), _y(w).cast("double").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(ANGLES - 1))).alias("k"))
+    m = m.withColumn("edge", F.col("m") > F.percentile("m", EDGE_QUANTILE).over(_all()))
+    # 60 angles an edge pixel, one empty row any other: all steps keep the window's partitioning,
+    # and a flat channel, which has no edge, still has its row
+    angles = F.when(F.col("edge"), F.sequence(F.lit(0), F.lit(ANGLES - 1)))
+    votes = m.select(*KEY, _x(w).cast("double").alias("x"), _y(w).cast("double").alias("y"), F.explode_outer(angles).alias("k"))
     angle = F.col("k") * F.lit(math.pi / ANGLES)
     rho = F.cos(angle) * F.col("x") + F.sin(angle) * F.col("y")
-    cell = F.least(F.greatest(F.floor((rho + F.lit(diagonal)) / F.lit(float(RHO_STEP))), F.lit(0)), F.lit(last))
-    peaks = votes.groupBy(*KEY, "k", cell.alias("cell")).agg(F.count("*").alias("n")).groupBy(*KEY, "k").agg(F.max("n").alias("n"))
-    best = peaks.groupBy(*KEY).agg(F.slice(F.sort_array(F.collect_list("n"), asc=False), 1, 3).alias("top"))  # at most 60 values
-    # a flat patch has no edge, so it must come from the left side
-    base = px.select(*KEY).distinct().join(counted, KEY, "left").join(best, KEY, "left")
-    top = F.coalesce("top", F.array().cast("array<bigint>"))
-    peak = F.coalesce(F.element_at(F.concat(top, F.array(F.lit(0).cast("bigint"))), 1), F.lit(0)).cast("double")
-    three = F.aggregate(top, F.lit(0.0), lambda a, n: a + n)
-    n = F.coalesce("edges", F.lit(0.0)) + F.lit(EPS)
-    return base.select(*KEY, (peak / n).alias("line_peak_frac"), (peak / F.lit(diagonal)).alias("line_peak_len"), (three / n).alias("line_top3"))
+    cell = F.when(F.col("k").isNotNull(), F.least(F.greatest(F.floor((rho + F.lit(diagonal)) / F.lit(float(RHO_STEP))), F.lit(0)), F.lit(last)))
+    counted = votes.groupBy(*KEY, "k", cell.alias("cell")).agg(F.count("*").alias("n"))
+    by_angle = counted.groupBy(*KEY, "k").agg(F.max("n").alias("peak"), F.sum("n").alias("edges"))
+    real = lambda c: F.when(F.col("k").isNotNull(), F.col(c).cast("double"))
+    best = by_angle.groupBy(*KEY).agg(F.coalesce(F.max(real("edges")), F.lit(0.0)).alias("edges"), F.slice(F.sort_array(F.collect_list(real("peak")), asc=False), 1, 3).alias("top"))
+    peak = F.coalesce(F.get("top", F.lit(0)), F.lit(0.0))
+    three = F.aggregate("top", F.lit(0.0), lambda a, n: a + n)
+    n = F.col("edges") + F.lit(EPS)
+    return best.select(*KEY, (peak / n).alias("line_peak_frac"), (peak / F.lit(diagonal)).alias("line_peak_len"), (three / n).alias("line_top3"))
 
 
 def harris(px: DataFrame, h: int, w: int) -> DataFrame:

@@ -40,9 +40,14 @@ def scratch(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage that outlives executors."""
+    """``df`` written to the shared folder and read again: short lineage that outlives executors.
+
+    The table is deleted when the application ends.
+    """
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _place(df.sparkSession, path)
+    fs.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
