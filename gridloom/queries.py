@@ -184,19 +184,20 @@ def split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    z = z_split(spark, sf_dir)
-    return z.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("features")), z.where("vec_id % 2 = 0").select(
-        F.col("vec_id").alias("key"), "label", F.col("embedding").alias("features")
-    )
+    """Embeddings, and the labels of documents as vectors: two tables whose keys overlap in part."""
+    left = z_split(spark, sf_dir).select(F.col("vec_id").alias("key"), "label", F.col("embedding").alias("features"))
+    marks = F.array(F.col("quality").cast("double"), F.col("toxic").cast("double"))
+    return left, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"), marks.alias("features"))
 
 
-@query("align_inner", "SELECT vec_id AS key, label FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 = 0")
+@query("align_inner", "SELECT e.vec_id AS key, e.label, l.quality, l.toxic FROM embeddings e JOIN labels l ON e.vec_id = l.doc_id")
 def align_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _two_tables(spark, sf_dir)
-    return A.inner(left.select("key", "label"), right.select("key"), "key")
+    right = right.select("key", F.col("features")[0].cast("int").alias("quality"), F.col("features")[1].cast("int").alias("toxic"))
+    return A.inner(left.select("key", "label"), right, "key")
 
 
-@query("align_anti", "SELECT vec_id AS key, label FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0")
+@query("align_anti", "SELECT vec_id AS key, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def align_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _two_tables(spark, sf_dir)
     return A.missing(left.select("key", "label"), right, "key")
@@ -204,8 +205,9 @@ def align_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "align_report",
-    "SELECT CAST(0 AS BIGINT) AS duplicate_left, CAST(0 AS BIGINT) AS duplicate_right, count(*) FILTER (WHERE vec_id % 3 <> 0 AND vec_id % 2 <> 0) AS only_left, "
-    "count(*) FILTER (WHERE vec_id % 3 = 0 AND vec_id % 2 = 0) AS only_right, CAST(0 AS BIGINT) AS label_mismatch, CAST(0 AS BIGINT) AS not_finite FROM embeddings",
+    "SELECT CAST(0 AS BIGINT) AS duplicate_left, CAST(0 AS BIGINT) AS duplicate_right, count(*) FILTER (WHERE l.doc_id IS NULL) AS only_left, "
+    "count(*) FILTER (WHERE e.vec_id IS NULL) AS only_right, count(*) FILTER (WHERE e.label <> l.quality) AS label_mismatch, CAST(0 AS BIGINT) AS not_finite "
+    "FROM embeddings e FULL JOIN labels l ON e.vec_id = l.doc_id",
 )
 def align_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.alignment_report(*_two_tables(spark, sf_dir))
@@ -257,18 +259,18 @@ def row_shuffle_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "class_center",
-    f"WITH {ZE}, c AS (SELECT label, pos, avg(v) AS m FROM ze WHERE split = 'train' GROUP BY label, pos) SELECT vec_id, pos, {O.rounded({'value': 'v - m'})} FROM ze JOIN c USING (label, pos) WHERE split = 'test' AND pos < 8",
+    f"WITH {ZE}, c AS (SELECT label, pos, avg(v) AS m FROM ze WHERE split = 'train' GROUP BY label, pos) SELECT vec_id, pos, {O.rounded({'value': 'v - m'})} FROM ze JOIN c USING (label, pos) WHERE split = 'test'",
 )
 def class_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = z_split(spark, sf_dir)
     out = A.class_centered(part(z, "test"), A.class_means(part(z, "train"), "embedding"), "embedding")
-    return rounded(out.select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("pos", "value")))
+    return rounded(out.select("vec_id", F.posexplode("embedding").alias("pos", "value")))
 
 
-@query("concat_scaled", f"WITH {ZE} SELECT vec_id, CAST(pos AS INT) AS pos, {O.rounded({'value': 'CASE WHEN pos < 4 THEN v ELSE CAST(0.25 AS DOUBLE) * v END'})} FROM ze WHERE pos < 8")
+@query("concat_scaled", f"WITH {ZE} SELECT vec_id, CAST(pos AS INT) AS pos, {O.rounded({'value': 'CASE WHEN pos < 32 THEN v ELSE CAST(0.25 AS DOUBLE) * v END'})} FROM ze")
 def concat_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("embedding")
-    return rounded(z_split(spark, sf_dir).select("vec_id", F.posexplode(A.concat_scaled(F.slice(v, 1, 4), F.slice(v, 5, 4), 0.25)).alias("pos", "value")))
+    return rounded(z_split(spark, sf_dir).select("vec_id", F.posexplode(A.concat_scaled(F.slice(v, 1, 32), F.slice(v, 33, 32), 0.25)).alias("pos", "value")))
 
 
 # --- scoring ------------------------------------------------------------------------------------
@@ -580,7 +582,7 @@ def _records(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    z = z_split(spark, sf_dir).select("vec_id", "label", "split", F.slice("embedding", 1, 24).alias("features"))
+    z = z_split(spark, sf_dir).select("vec_id", "label", "split", F.col("embedding").alias("features"))
     return {s: part(z, s) for s in ("train", "val", "test")}
 
 
@@ -599,7 +601,7 @@ def c_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rfe_trace")
 def rfe_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = _vectors(spark, sf_dir)
-    rounds, _ = H.eliminate(z["train"], z["val"], z["test"], step=10, minimum=4, grid=(1.0, 10.0))
+    rounds, _ = H.eliminate(z["train"], z["val"], z["test"], step=20, minimum=4, grid=(1.0, 10.0))
     return _records(spark, rounds, "features int, parameters int, c double, val_accuracy double, train_accuracy double, test_accuracy double, positions array<int>")
 
 
