@@ -44,22 +44,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and return the table read again."""
+    """Write ``df`` as Parquet in the shared folder and return the table read again.
+
+    The table is deleted when the application ends, or before by ``release``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, fs = _place(spark, path)
+    fs.deleteOnExit(where)
     back = spark.read.schema(df.schema).parquet(path)
     back._gridloom_path = path
     return back
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by ``materialize`` that no later plan reads."""
     path = getattr(df, "_gridloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        where, fs = _place(df.sparkSession, path)
+        fs.delete(where, True)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -283,7 +283,8 @@ def links(distinct: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = N
             yield done(rest)
 
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = distinct.mapInArrow(deal, "anchor long, fp long, home boolean").repartition(n, "anchor").sortWithinPartitions("anchor")
+    # spread first: a small table of fingerprints has few files, but many replicas
+    dealt = distinct.repartition(n, "fp").mapInArrow(deal, "anchor long, fp long, home boolean").repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
@@ -438,7 +439,7 @@ def _candidates(nodes: DataFrame, wide: int, together: int) -> DataFrame:
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = ", ".join(f"{c} long" for c in names)
-    dealt = nodes.select("g", *fs).mapInArrow(deal, kinds).repartition(n, "anchor").sortWithinPartitions("anchor")
+    dealt = nodes.select("g", *fs).repartition(n, "g").mapInArrow(deal, kinds).repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(meet, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
