@@ -7,7 +7,7 @@ language with the smallest total is chosen, and a text whose two best totals are
 long text (else its own past would soon explain it as well as any dictionary).
 
 Fitting reads a bounded sample, set by parameters: at most ``PER_LANG`` distinct labelled texts of
-a language (those of smallest salted hash) give one passage of ``PASSAGE`` code points each, and a
+a language (those of smallest salted hashes) give one passage of ``PASSAGE`` code points each, and a
 dictionary holds at most ``DICT_BYTES`` bytes. The dictionaries, the only thing shared with
 executors, are therefore bounded by the number of languages. Prediction is a narrow pass.
 
@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -33,6 +33,8 @@ BLOCK = 512
 LEVEL = 9
 #: The sample's keys are broadcast up to so many rows.
 BROADCAST_ROWS = 200_000
+#: Steps in which hashes are counted to find a sample's threshold.
+STEPS = 1024
 #: Rejected if (second - best) / second is below this.
 MIN_MARGIN = 0.002
 UND = "und"
@@ -46,19 +48,35 @@ def held_out(doc_id: Column) -> Column:
 
 
 def smallest_draws(keys: DataFrame, group: str, key: str, many: dict, k: int) -> DataFrame:
-    """The k rows of each group with the smallest salted hashes of ``key``.
+    """At most k rows of each group: those whose salted hash of ``key`` is below a threshold.
 
-    ``many`` has the rows of each group. A hash below 4 k / n of its range is a candidate (all
-    are, in a group of 4 k rows or less), so about 4 k rows a group are ranked, however large it is.
+    ``many`` has the rows of each group. A group of k rows or less is taken whole. Of a larger one,
+    hashes below about 4 k / n of their range are counted in ``STEPS`` steps, and the threshold is the
+    last step up to which there are at most k rows. Only counts are shuffled; nothing is ranked.
     """
-    draw = F.xxhash64(key, F.lit("pick"))
-    rows = keys.withColumn("draw", draw)
-    likely = F.lit(False)
-    for value, n in many.items():
-        share = min(1.0, 4 * k / n)
-        likely = likely | ((F.col(group) == F.lit(value)) & (F.lit(share >= 1) | (F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)))))
-    by = Window.partitionBy(group).orderBy(F.pmod("draw", F.lit(1 << 30)), "draw", key)
-    return rows.where(likely).withColumn("k", F.row_number().over(by)).where(F.col("k") <= k).select(group, key)
+    size = 1 << 30
+    rows = keys.withColumn("draw", F.pmod(F.xxhash64(key, F.lit("pick")), F.lit(size)))
+    large = {v: min(1.0, 4 * k / n) * size for v, n in many.items() if n > k}
+
+    def by_group(values: dict, otherwise: int):
+        out = F.lit(otherwise)
+        for v, x in values.items():
+            out = F.when(F.col(group) == F.lit(v), F.lit(int(x))).otherwise(out)
+        return out
+
+    limit = dict.fromkeys(many, size)
+    if large:
+        step = F.floor(F.col("draw") * F.lit(STEPS) / by_group(large, 0)).cast("int")
+        counts = rows.where(F.col("draw") < by_group(large, 0)).groupBy(group, step.alias("step")).agg(F.count("*").alias("n")).collect()  # at most STEPS rows a group
+        for v, reach in large.items():
+            held = {r["step"]: r["n"] for r in counts if r[group] == v}
+            total, last = 0, 0
+            while last < STEPS and total + held.get(last, 0) <= k:
+                total += held.get(last, 0)
+                last += 1
+            # the first hash that belongs to the step after the last one taken
+            limit[v] = -(-last * int(reach) // STEPS)
+    return rows.where(F.col("draw") < by_group(limit, 0)).select(group, key)
 
 
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, bytes]]:

@@ -139,6 +139,18 @@ def test_held_out_rule(spark):
     assert all(r.a == (zlib.crc32(str(r.id).encode()) % 4 == 2) and r.b == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
 
 
+def test_samples_are_bounded_and_nearly_full(spark):
+    rows = spark.range(20_000).select((F.when(F.col("id") < 40, "small").when(F.col("id") < 400, "middle").otherwise("large")).alias("g"), "id")
+    many = {r.g: r.n for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
+    for k in (1, 40, 300):
+        found = {r.g: r.n for r in langid.smallest_draws(rows, "g", "id", many, k).groupBy("g").agg(F.count("*").alias("n")).collect()}
+        assert all(n <= k for n in found.values())
+        assert found.get("small", 0) == (40 if k >= 40 else found.get("small", 0))
+        assert k < 300 or (found["large"] >= 0.95 * k and found["middle"] >= 0.95 * k)
+    again = [sorted(r.id for r in langid.smallest_draws(rows.repartition(p), "g", "id", many, 300).collect()) for p in (1, 7)]
+    assert again[0] == again[1]
+
+
 def test_language_id_of_odd_rows(make, odd_texts):
     docs = make(["the cat and the dog are here", "le chat et le chien sont la", *odd_texts], langs=["en", "fr", None, *["en"] * (len(odd_texts) - 1)], clash=True)
     model = langid.fit(docs)
