@@ -258,3 +258,37 @@ def test_deduplicate_repeated_rows_and_ids(make):
     docs = make(["one text", "one text", "another", "third", "third"], [4, 4, 4, None, None])
     assert sorted(str((r.doc_id, r.text)) for r in simhash.deduplicate(docs).collect()) == ["(4, 'another')", "(4, 'one text')", "(None, 'third')"]
     assert simhash.deduplicate(docs.limit(0)).count() == 0
+
+
+def brute_kept(texts, similarity=0.8):
+    """Numbers of the texts that are the first of their component of links, by all pairs."""
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {k for k in range(len(texts)) if find(k) == k}
+
+
+@pytest.mark.parametrize("n", [60, 200])
+def test_deduplicate_loses_no_link_of_a_hot_group(make, n):
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(250)]
+    texts = []
+    for _ in range(n):  # at 0.80 to 0.86 to the original, well below 0.8 to each other
+        w = list(base)
+        while len(shingles(" ".join(w)) & shingles(" ".join(base))) / len(shingles(" ".join(w)) | shingles(" ".join(base))) > 0.85:
+            w[rng.randrange(len(w))] = word()
+        texts.append(" ".join(w))
+    texts.insert(n // 2, " ".join(base))
+    kept = {r.doc_id for r in simhash.deduplicate(make(texts)).collect()}
+    assert kept == brute_kept(texts) == {0}
