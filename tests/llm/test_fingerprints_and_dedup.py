@@ -292,3 +292,21 @@ def test_deduplicate_loses_no_link_of_a_hot_group(make, n):
     texts.insert(n // 2, " ".join(base))
     kept = {r.doc_id for r in simhash.deduplicate(make(texts)).collect()}
     assert kept == brute_kept(texts) == {0}
+
+
+def test_deduplicate_finds_cut_and_appended_copies(make):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, copies = [], []
+    for share in (0.8, 0.85, 0.9, 0.95):
+        for _ in range(10):
+            w = [word() for _ in range(rng.randint(100, 400))]
+            n = len(w) - 4
+            texts += [" ".join(w), " ".join(w[: int(np.ceil(n * share)) + 4])]
+            copies.append(len(texts) - 1)
+            w = [word() for _ in range(rng.randint(100, 400))]
+            n = len(w) - 4
+            texts += [" ".join(w), " ".join(w + [word() for _ in range(int(n / share) - n)])]
+            copies.append(len(texts) - 1)
+    kept = {r.doc_id for r in simhash.deduplicate(make(texts)).collect()}
+    assert kept == brute_kept(texts) == set(range(len(texts))) - set(copies)
