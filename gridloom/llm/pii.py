@@ -7,7 +7,9 @@ document without any table of values, and each pseudonym is again valid:
 * card (13 to 19 digits, Luhn): all digits but the last are permuted, the check digit is made anew;
 * phone and social security number: digits are permuted, separators and country code stay;
 * IPv4: the 32 bits are permuted as two halves of 16;
-* date ``YYYY-MM-DD`` of 1900-01-01 to 2099-11-12: these 73,000 days are permuted as 250 x 292;
+* date ``YYYY-MM-DD`` of 1900-01-01 to 2099-12-31: the first 73,000 of these 73,049 days are permuted
+  as 250 x 292, all are turned by half of them, and the first 73,000 are permuted again, so that
+  every day is permuted at least once;
 * mail address: letters and digits of the local part are permuted within their class, case kept.
 
 Everything is one narrow projection (no shuffle, no state), so it scales with the scan alone, and
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8  # even, so that the halves end in their own places
 KEY = "gridloom"  #: default key; production callers pass their own secret
-DAY0, DAYS_A, DAYS_B = "1900-01-01", 250, 292
+DAY0, DAYS, DAYS_A, DAYS_B = "1900-01-01", 73_049, 250, 292
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
 NUMBERS = "|".join(
@@ -51,7 +53,7 @@ def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.contains("."), F.when(m.rlike(r"^\d+(\.\d+){3}$"), "ip").otherwise("phone"))
-        .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(F.try_to_date(m).between(F.lit(DAY0).cast("date"), F.date_add(F.lit(DAY0).cast("date"), DAYS_A * DAYS_B - 1)), "date"))
+        .when(m.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.when(F.try_to_date(m).between(F.lit(DAY0).cast("date"), F.date_add(F.lit(DAY0).cast("date"), DAYS - 1)), "date"))
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(m.rlike(r"^[+(]") | m.rlike(r"^\d{3}-\d{3}-\d{4}$"), "phone")
         .when(luhn_sum(digits) % 10 == 0, "card")
@@ -82,6 +84,16 @@ def feistel_number(value: Column, a: int, b: int, key: str, tag: str) -> Column:
     return F.aggregate(F.array(*[F.lit(i) for i in range(ROUNDS)]), start, step, lambda s: s["l"] * F.lit(b).cast("long") + s["r"])
 
 
+def feistel_day(day: Column, key: str) -> Column:
+    """Permute 0 .. DAYS-1, of which a network can take DAYS_A * DAYS_B at once."""
+
+    def once(v: Column, tag: str) -> Column:
+        return F.when(v < DAYS_A * DAYS_B, feistel_number(v, DAYS_A, DAYS_B, key, tag)).otherwise(v)
+
+    turned = F.transform(F.array(day.cast("long")), lambda v: (once(v, "date") + F.lit(DAYS // 2)) % F.lit(DAYS))
+    return F.transform(turned, lambda v: once(v, "date2"))[0]
+
+
 def feistel_string(text: Column, key: str, tag: str) -> Column:
     """Permute strings of one format: ASCII digits and letters move within their class and case."""
     cut = F.floor(F.length(text) / 2).cast("int")
@@ -125,7 +137,7 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     email = F.concat(feistel_string(F.substring(m, F.lit(1), at - 1), key, "email"), F.substring(m, at, F.length(m)))
     octet = lambda k: F.element_at(F.split(m, r"\."), k).cast("long")
     ip = feistel_number(((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4), 1 << 16, 1 << 16, key, "ip")
-    day = feistel_number(F.datediff(F.try_to_date(m), F.lit(DAY0).cast("date")).cast("long"), DAYS_A, DAYS_B, key, "date")
+    day = feistel_day(F.datediff(F.try_to_date(m), F.lit(DAY0).cast("date")), key)
     digits = F.regexp_replace(m, r"\D", "")
     # the last ten digits of a phone number; what stands before them is the country code
     local = F.length(digits) - 10

@@ -247,3 +247,11 @@ def test_pii_of_odd_texts(spark, make, odd_texts):
     assert pii.pseudonymize(docs.limit(0), counts_prefix=None).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_all_days_are_permuted(spark):
+    last = spark.sql("SELECT CAST(date_add(DATE'1900-01-01', 73000 + CAST(id AS INT)) AS STRING) AS text FROM range(49)")
+    rows = pii.pseudonymize(last.select("text", F.col("text").alias("was"))).collect()
+    assert max(r.was for r in rows) == "2099-12-31" and all(r.n_date == 1 and r.text != r.was for r in rows)
+    days = spark.range(pii.DAYS).select(pii.feistel_day(F.col("id"), "k").alias("v"))
+    assert days.distinct().count() == pii.DAYS and days.agg(F.min("v"), F.max("v")).first() == (0, pii.DAYS - 1)
