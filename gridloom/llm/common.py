@@ -21,6 +21,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of input that one task of a shuffle is meant to hold, where the input's size is known.
+PART_BYTES = 64 << 20
+#: A key with more than 1 / HUBS of all rows is a hub; there are fewer than HUBS of them.
+HUBS = 1000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Everything that is not a digit, an ASCII letter or a code point beyond ASCII, after lower-casing.
@@ -71,6 +75,28 @@ def release(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
+def parts(df: DataFrame, factor: float = 1.0) -> int:
+    """Partitions to deal ``factor`` times the bytes of ``df`` over: those of the session, or more
+    where the size that Spark knows of its files asks for more."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return least if size > 1 << 55 else max(least, int(size * factor) // PART_BYTES)  # above: Spark's mark of an unknown size
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``rows`` (a stored table) with the least ``value`` of all rows of the same ``key``.
+
+    Minima are pre-aggregated in every task. Rows of hubs get theirs by a broadcast of fewer than
+    ``HUBS`` rows and are not dealt by key, so no task gets more than a small share of the rows.
+    """
+    low = materialize(rows.groupBy(key).agg(F.min(value).alias(name), F.count("*").alias("key rows")), "least")
+    total = low.agg(F.sum("key rows")).first()[0] or 0
+    hubs = low.where(F.col("key rows") * HUBS > total).select(key, F.col(name).alias("hub least"))
+    marked = rows.join(F.broadcast(hubs), key, "left")
+    rest = marked.where(F.col("hub least").isNull()).drop("hub least").join(low.select(key, name), key)
+    return rest.unionByName(marked.where(F.col("hub least").isNotNull()).withColumnRenamed("hub least", name))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; every other code point stays."""
     return F.translate(text, UPPER, LOWER)

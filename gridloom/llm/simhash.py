@@ -8,9 +8,9 @@ anchors: every word lies within the covering radius R of exactly one code word (
 R = 3; Hamming [15, 11], R = 1). If x and y differ in at most t bits, the anchor of x, which is
 within R of x in each block, is within R + e_i of y in block i for some e_1 + e_2 + .. <= t. So each
 fingerprint has one home anchor, and is replicated to every anchor within R + e_i of it with
-e_1 + e_2 + .. <= t; a pair within t bits meets at the home anchor of either. Two Golay blocks give
-2^24 anchors and about 61 replicas for t = 2; from ``MANY`` distinct fingerprints on, a Hamming block
-on the next 15 bits makes it 2^35 anchors and about 150 replicas, so that anchors stay small.
+e_1 + e_2 + .. <= t; a pair within t bits meets at the home anchor of either. Two Golay blocks, the
+default, give 2^24 anchors and about 61 replicas for t = 2; a caller with very many fingerprints can
+add a Hamming block on the next 15 bits (2^35 anchors, about 150 replicas) to keep anchors small.
 Either layout finds exactly the same links.
 
 Comparison per anchor. Only distinct fingerprints are replicated (copies are one row). Rows are
@@ -29,7 +29,6 @@ have null ids; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
@@ -37,10 +36,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, parts, with_least
 from .components import components
 
 SEED = 42
@@ -60,10 +59,10 @@ class Code(NamedTuple):
 
 GOLAY = Code(23, 0b110001110101, 3)  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 HAMMING = Code(15, 0b10011, 1)  # x^4 + x + 1
-#: Distinct fingerprints from which on anchors have a third block.
-MANY = 1 << 26
-#: An anchor with more fingerprints than this is searched by points of radius one.
+#: An anchor with more fingerprints than this is searched by points of radius one: the same links.
 PAIRWISE_UP_TO = 64
+#: Bytes of replicas for each byte of a fingerprint.
+REPLICAS = 130
 
 
 # --- fingerprints ---------------------------------------------------------------------------
@@ -89,7 +88,11 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
 
 def fingerprint(text: str | None, size: int) -> int:
     """64-bit SimHash as an unsigned integer; zero without words."""
-    h = shingle_hashes(text, size)
+    return fingerprint_of(shingle_hashes(text, size))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """64-bit SimHash of hashes, repeats included."""
     if not len(h):
         return 0
     counts = np.zeros(64, np.int64)
@@ -247,10 +250,8 @@ def _compare(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int) ->
     return _forest(np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
-def links(distinct: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = None) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 2, codes: tuple[Code, ...] = (GOLAY, GOLAY)) -> DataFrame:
     """``a, b``: a set of links whose components are those of all pairs within ``bits``."""
-    if codes is None:
-        codes = (GOLAY, GOLAY, HAMMING) if distinct.count() >= MANY else (GOLAY, GOLAY)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,22 +284,21 @@ def links(distinct: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = N
         if rest:
             yield done(rest)
 
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts(distinct, REPLICAS)
     # spread first: a small table of fingerprints has few files, but many replicas
     dealt = distinct.repartition(n, "fp").mapInArrow(deal, "anchor long, fp long, home boolean").repartition(n, "anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
-def linked(prints: DataFrame, bits: int = 2, codes: tuple[Code, ...] | None = None) -> DataFrame:
+def linked(prints: DataFrame, bits: int = 2, codes: tuple[Code, ...] = (GOLAY, GOLAY)) -> DataFrame:
     """``doc_id, fp, component_id`` of a table ``doc_id, fp``; linking by the fingerprint alone."""
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     groups = materialize(groups, "simhash-groups")
     # the roots of components are fingerprints; their smallest ids name the components
     roots = components(links(groups.select("fp"), bits, codes))
     roots = materialize(roots.select(F.col("node").alias("fp"), "root"), "simhash-roots")
-    member = groups.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
+    member = materialize(groups.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), "simhash-members")
+    named = with_least(member, "root", "rep", "component_id").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -307,266 +307,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = materialize(fingerprints(docs, id_col, text_col, size), "simhash-prints")
     out = linked(prints, bits)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# --- near copies by similarity ----------------------------------------------------------------
-#
-# At a similarity of 0.8 in five-word shingles a 64-bit fingerprint differs in about ten bits, too
-# many for a search within the radius plus threshold, and cut or appended text moves far more. So
-# this stage is an exact join by prefixes. The shingles of every document are put in one order, the
-# same for all; two sets of n and m shingles with Jaccard similarity t or more have t * max(n, m) or
-# more in common, so the first n - ceil(t n) + 1 shingles of the one and those of the other share
-# one. Each shingle of a prefix has a list of the documents that it is in the prefix of; every pair
-# at t or more is in some list. Any order gives the same links: shingles that a sample of the texts
-# repeats come last, so that common lines seldom make lists.
-#
-# Links are never thinned before they are verified. Each list has a leader (the document with the
-# most common shingles, in a group of edited copies the original), which is compared with all
-# others of the list. That settles the leader in its list. A list whose other members are then not
-# of one component is open: its members are compared with their whole sets in one task, all pairs
-# that are not of one component yet, and only verified links leave the task, as a forest.
-#
-# Sets are read only where sizes leave room for a link: beyond its prefix a document has n - p
-# shingles, and within the prefixes two have no more in common than the shingles of either that
-# are in lists (``r``), so at most min(r, r') + max(n - p, n' - p') in all.
-
-SAMPLE = 16  #: one text in so many is sampled for common shingles
-COMMON = 1 << 19  #: common shingles that are known to all tasks, at most
-BROADCAST_ROWS = 200_000  #: names of texts are broadcast up to so many
-
-
-def _ordered(h: np.ndarray, common: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, int]:
-    """Distinct shingles, those not ``common`` first, and how common they are on average."""
-    n = np.zeros(len(h), np.int64)
-    if len(common) and len(h):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        n = np.where(common[at] == h, seen[at], 0)
-    return h[np.lexsort((h, n))], int(1000 * np.log2(1 + n).mean()) if len(h) else 0
-
-
-def _prefix(n: int, similarity: float) -> int:
-    """Length of the prefix of n shingles; one more where rounding leaves a doubt."""
-    return min(n, n - math.ceil(similarity * n - 1e-9) + 1)
-
-
-def _verified_links(name: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
-    """Links at ``similarity`` or more that join all members which such links connect.
-
-    Members with the same label are connected already; every other pair is compared, unless links
-    found before have connected it.
-    """
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, word = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(word, kind="stable")
-    holders = owner[order]
-    first = np.searchsorted(word[order], np.arange(word.max() + 2))
-    start = np.r_[0, np.cumsum(size)]
-    label = np.unique(label, return_inverse=True)[1]
-    a, b = [], []
-    for x in range(len(sets)):
-        if (label == label[0]).all():
-            break
-        w = word[start[x] : start[x + 1]]
-        n = first[w + 1] - first[w]
-        near = holders[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[w], n)]
-        shared = np.bincount(near, minlength=len(sets))
-        hit = np.flatnonzero((shared >= similarity * (size + size[x] - shared)) & (label != label[x]))
-        joined, at = np.unique(label[hit], return_index=True)
-        a += [int(name[x])] * len(joined)
-        b += name[hit[at]].tolist()
-        label[np.isin(label, joined)] = label[x]
-    return a, b
-
-
-def _feasible(n: np.ndarray, p: np.ndarray, r: np.ndarray, label: np.ndarray, similarity: float) -> np.ndarray:
-    """Members of a list that could be linked to one with another label, by their sizes."""
-    keep = np.zeros(len(n), bool)
-    for k in range(len(n)):
-        most = np.minimum(r, r[k]) + np.maximum(n - p, n[k] - p[k])
-        keep[k] = ((label != label[k]) & (most >= similarity / (1 + similarity) * (n + n[k]) - 1e-6) & (np.minimum(n, n[k]) >= similarity * np.maximum(n, n[k]) - 1e-6)).any()
-    return keep
-
-
-def _open_members(left: DataFrame, similarity: float) -> DataFrame:
-    """``s, g, label`` of the members of each list of ``s, g, label, n, p, r`` that may have links."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] = []  # rows of the list that may go on
-
-        def done(x: np.ndarray) -> pa.RecordBatch:
-            cut = np.flatnonzero(np.r_[True, x[1:, 0] != x[:-1, 0]])
-            keep = [_feasible(part[:, 3], part[:, 4], part[:, 5], part[:, 2], similarity) for part in np.split(x, cut[1:])]
-            x = x[np.concatenate(keep)]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)], names=["s", "g", "label"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
-            cut = int(np.searchsorted(x[:, 0], x[-1, 0]))
-            if rest and rest[0][0, 0] != x[0, 0]:
-                yield done(np.concatenate(rest))
-                rest = []
-            if cut:
-                yield done(np.concatenate([*rest, x[:cut]]))
-                rest = []
-            rest.append(x[cut:])
-        if rest:
-            yield done(np.concatenate(rest))
-
-    cols = ["s", "g", "label", *(F.col(c).cast("long").alias(c) for c in ("n", "p", "r"))]
-    return left.select(*cols).repartition("s").sortWithinPartitions("s").mapInArrow(meet, "s long, g long, label long")
-
-
-def _open_links(members: DataFrame, similarity: float) -> DataFrame:
-    """``a, b``: verified links of each list of a table ``s, g, label, set``."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray]] = []
-        last = None
-
-        def done() -> pa.RecordBatch:
-            a, b = _verified_links(np.array([h[0] for h in held]), np.array([h[1] for h in held]), [h[2] for h in held], similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-        for batch in batches:
-            s, g, label = (batch.column(k).to_pylist() for k in range(3))
-            for k in range(len(batch)):
-                if held and s[k] != last:
-                    yield done()
-                    held.clear()
-                last = s[k]
-                held.append((g[k], label[k], np.array(batch.column(3)[k].values)))
-        if held:
-            yield done()
-
-    return members.repartition("s").sortWithinPartitions("s").mapInArrow(meet, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, wide: int = 3, together: int = 2) -> DataFrame:
-    """Per row: ``doc_id, h`` (hash of the text) and the document that stands for its group.
-
-    Two documents are linked if the Jaccard similarity of their sets of ``size``-word shingles is
-    at least ``similarity``; groups are the components of all such links. Word sequences that are
-    equal but for case and white space are one node. ``rep_id, rep_h`` name the row with the
-    smallest id of the group (null ids last). ``wide`` and ``together`` set the former search by
-    fingerprints; all links are found whatever they are.
-    """
-    picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    kind = picked.schema["doc_id"].dataType.simpleString()
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), size)).view(np.int64))], names=["s"])
-
-    counts = picked.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(sampled, "s long").groupBy("s").agg(F.count("*").alias("n"))
-    found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()  # at most COMMON rows
-    common = found.column("s").to_numpy().view(np.uint64)
-    order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], found.column("n").to_numpy()[order]))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        common, seen = shared.value
-        for b in batches:
-            g, pop, n, p = [], [], [], []
-            for t in b.column(2):
-                text = t.as_py()
-                g.append(xxhash.xxh64_intdigest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split()), SEED))
-                s, often = _ordered(np.unique(shingle_hashes(text, size)), common, seen)
-                pop.append(often)
-                n.append(len(s))
-                p.append(s[: _prefix(len(s), similarity)].view(np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(g, np.uint64).view(np.int64)), pa.array(pop, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "g", "pop", "n", "p"])
-
-    rows = materialize(picked.select("doc_id", "h", "text").mapInArrow(prints, f"doc_id {kind}, h long, g long, pop int, n int, p array<long>"), "near-prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("rep")
-    nodes = materialize(rows.groupBy("g").agg(first, F.first("pop").alias("pop"), F.first("n").alias("n"), F.first("p").alias("p")), "near-nodes")
-
-    # lists of two documents or more, with their leaders
-    each = Window.partitionBy("s")
-    posts = nodes.select("g", "pop", F.explode("p").alias("s")).withColumn("k", F.count("*").over(each)).where("k > 1")
-    posts = materialize(posts.select("s", "g", F.max(F.struct("pop", "g")).over(each)["g"].alias("lead")), "near-posts")
-    sizes = materialize(posts.groupBy("g").agg(F.count("*").alias("r")).join(nodes.select("g", "rep", "n", F.size("p").alias("p")), "g"), "near-sizes")
-    pairs = posts.where("g != lead").select(F.least("g", "lead").alias("a"), F.greatest("g", "lead").alias("b")).distinct()
-    for c in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("g").alias(c), *[F.col(v).alias(v + c) for v in ("n", "p", "r")]), c)
-    room = F.least("ra", "rb") + F.greatest(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - 1e-6
-    alike = F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6
-    pairs = materialize(pairs.where(room & alike).select("a", "b"), "near-pairs")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            made = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["g", "s"])
-
-    def sets_of(keys: DataFrame) -> DataFrame:
-        needed = keys.distinct().join(sizes.select("g", "rep"), "g").select("g", F.col("rep.doc_id").alias("i"), F.col("rep.h").alias("t"))
-        needed = materialize(needed, "near-needed")
-        many = needed.count()
-        chosen = F.broadcast(needed) if many <= BROADCAST_ROWS else needed
-        found = picked.join(chosen, picked["doc_id"].eqNullSafe(chosen["i"]) & (picked["h"] == chosen["t"])).select("g", "text").mapInArrow(sets, "g long, s array<long>")
-        # stored before they are joined: the joins then read plain tables, whose hot keys can be split
-        found = materialize(found, "near-sets")
-        if found.count() > many:  # rows that repeat an id with the same text
-            once = materialize(found.dropDuplicates(["g"]), "near-sets")
-            release(found)
-            found = once
-        release(needed)
-        return found
-
-    texts = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("g")))
-    both = pairs.join(texts.select(F.col("g").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("g").alias("b"), F.col("s").alias("sb")), "b")
-    shared_n = F.size(F.array_intersect("sa", "sb"))
-    verified = both.where((F.size("sa") > 0) & (shared_n >= similarity * (F.size("sa") + F.size("sb") - shared_n))).select("a", "b")
-    verified = materialize(verified, "near-links")
-    release(texts)
-    roots = materialize(components(verified).select(F.col("node").alias("g"), "root"), "near-roots")
-
-    # the other members of each list, where links have not made them one component
-    left = posts.where("g != lead").join(roots, "g", "left").select("s", "g", F.coalesce("root", "g").alias("label"))
-    who = [F.bit_xor(F.xxhash64("g", F.lit(k))).alias(f"w{k}") for k in range(2)]
-    lists = left.groupBy("s").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), *who).where("low != high")
-    lists = lists.groupBy("k", "w0", "w1").agg(F.min("s").alias("s")).select("s")  # lists of the same members are one
-    members = materialize(_open_members(left.join(lists, "s", "left_semi").join(sizes, "g"), similarity), "near-open")
-    if members.limit(1).count():
-        texts = sets_of(members.select("g"))
-        late = materialize(_open_links(members.join(texts.withColumnRenamed("s", "set"), "g").select("s", "g", "label", "set"), similarity), "near-late")
-        release(texts)
-        release(roots)
-        roots = materialize(components(verified.unionByName(late)).select(F.col("node").alias("g"), "root"), "near-roots")
-    for done in (posts, sizes, pairs, members):
-        release(done)
-
-    member = nodes.select("g", "rep").join(roots, "g", "left").select("g", "rep", F.coalesce("root", "g").alias("root"))
-    chief = member.groupBy("root").agg(F.min("rep").alias("chief"))
-    named = member.join(chief, "root").select("g", "chief")
-    return rows.select("doc_id", "h", "g").join(named, "g").select("doc_id", "h", F.col("chief.doc_id").alias("rep_id"), F.col("chief.h").alias("rep_h"))
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, wide: int = 3, together: int = 2) -> DataFrame:
-    """docs, with all its columns, without the rows that another one stands for.
-
-    One row of each group stays, the one with the smallest id; rows that repeat an id with the
-    same text are one document, of which one row stays.
-    """
-    found = materialize(near_copies(docs, id_col, text_col, size, similarity, wide, together).groupBy("doc_id", "h", "rep_id", "rep_h").agg(F.count("*").alias("n")), "near-rows")
-    stays = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("h") == F.col("rep_h"))
-    text_hash = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
-
-    def same(keys: DataFrame):
-        return docs[f"`{id_col}`"].eqNullSafe(keys["doc_id"]) & (text_hash == keys["h"])
-
-    gone = found.where(~stays).select("doc_id", "h")
-    repeated = found.where(stays & (F.col("n") > 1)).select("doc_id", "h")
-    if not repeated.limit(1).count():
-        return docs.join(gone, same(gone), "left_anti")
-    other = gone.unionByName(repeated)
-    key = [F.col(f"`{id_col}`"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))]
-    once = docs.join(repeated, same(repeated), "left_semi")
-    once = once.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key[0].alias("i"), key[1].alias("t")).groupBy("i", "t").agg(F.first("row").alias("row")).select("row.*")
-    return docs.join(other, same(other), "left_anti").unionByName(once)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from gridloom.llm import simhash, syncmers
+from gridloom.llm import near, simhash, syncmers
 from gridloom.llm.components import components
 
 
@@ -164,7 +164,7 @@ def test_near_duplicates_of_odd_texts(make, odd_texts):
     assert found[0].fingerprint == "0" * 16
 
 
-@pytest.mark.parametrize("codes", [None, (simhash.GOLAY, simhash.GOLAY, simhash.HAMMING)])
+@pytest.mark.parametrize("codes", [(simhash.GOLAY, simhash.GOLAY), (simhash.GOLAY, simhash.GOLAY, simhash.HAMMING)])
 def test_linking_against_all_pairs(spark, codes):
     rng = np.random.default_rng(3)
     fps = []
@@ -215,8 +215,7 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize(("wide", "together"), [(3, 2), (4, 3)])
-def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make, wide, together):
+def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make):
     rng = random.Random(0)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     texts = [" ".join(word() for _ in range(rng.randint(120, 300))) for _ in range(60)]
@@ -233,31 +232,16 @@ def test_deduplicate_finds_edited_copies_and_keeps_the_rest(make, wide, together
         family.append(" ".join(w))
     far = [" ".join(t.split()[:60] + [word() for _ in range(60)]) for t in texts[30:40]]  # similar, but not enough
     all_ = texts + copies + family + far + texts[:3] + ["", None, "Short One", "short  one"]
-    kept = {r.doc_id for r in simhash.deduplicate(make(all_, clash=True), wide=wide, together=together).collect()}
-    sets = [shingles(t) for t in all_]
-    root = list(range(len(all_)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i in range(len(all_)):
-        for j in range(i):
-            if sets[i] == sets[j] or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    want = {k for k in range(len(all_)) if find(k) == k}
-    assert not want - kept  # no document without a near copy is lost
-    assert len(kept - want) <= 1
-    out = simhash.deduplicate(make(all_, clash=True))
+    kept = {r.doc_id for r in near.deduplicate(make(all_, clash=True)).collect()}
+    assert kept == brute_kept(all_)
+    out = near.deduplicate(make(all_, clash=True))
     assert out.columns == make(all_, clash=True).columns
 
 
 def test_deduplicate_repeated_rows_and_ids(make):
     docs = make(["one text", "one text", "another", "third", "third"], [4, 4, 4, None, None])
-    assert sorted(str((r.doc_id, r.text)) for r in simhash.deduplicate(docs).collect()) == ["(4, 'another')", "(4, 'one text')", "(None, 'third')"]
-    assert simhash.deduplicate(docs.limit(0)).count() == 0
+    assert sorted(str((r.doc_id, r.text)) for r in near.deduplicate(docs).collect()) == ["(4, 'another')", "(4, 'one text')", "(None, 'third')"]
+    assert near.deduplicate(docs.limit(0)).count() == 0
 
 
 def brute_kept(texts, similarity=0.8):
@@ -272,7 +256,7 @@ def brute_kept(texts, similarity=0.8):
 
     for i in range(len(texts)):
         for j in range(i):
-            if sets[i] and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {k for k in range(len(texts)) if find(k) == k}
@@ -290,10 +274,63 @@ def test_deduplicate_loses_no_link_of_a_hot_group(make, n):
             w[rng.randrange(len(w))] = word()
         texts.append(" ".join(w))
     texts.insert(n // 2, " ".join(base))
-    kept = {r.doc_id for r in simhash.deduplicate(make(texts)).collect()}
+    kept = {r.doc_id for r in near.deduplicate(make(texts)).collect()}
     assert kept == brute_kept(texts) == {0}
 
 
+@pytest.mark.parametrize("hot", [near.HOT, 0])
+def test_deduplicate_loses_no_link_among_many_variants(make, monkeypatch, hot):
+    monkeypatch.setattr(near, "HOT", hot)  # 0: no list is dealt by token
+    monkeypatch.setattr(near, "BLOCK", 64)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(300)], []
+    for _ in range(250):  # variants of one text that are not linked to each other, each with a twin that is linked to it
+        w = list(base)
+        for k in rng.sample(range(300), 30):
+            w[k] = word()
+        texts.append(" ".join(w))
+        w[rng.randrange(300)] = word()
+        texts.append(" ".join(w))
+    want = brute_kept(texts)
+    assert len(want) == 250
+    assert {r.doc_id for r in near.deduplicate(make(texts)).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_block_pairs_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    base = [rng.choice(60, 25, replace=False) for _ in range(8)]
+    sets = [np.unique(np.r_[rng.choice(base[k % 8], rng.integers(12, 25), replace=False), rng.choice(60, 3)]) for k in range(80)]
+    g, label, block = np.arange(80) * 7, rng.integers(0, 6, 80), rng.integers(0, 2, 80)
+    n = np.array([len(s) for s in sets])
+    p = np.array([near.prefix_length(x, 0.5) for x in n])
+    prefixes = [s[:k] for s, k in zip(sets, p, strict=True)]
+    a, b = near.block_pairs(g, label, n, p, block, prefixes, 0.5)
+    found = set(zip(a.tolist(), b.tolist(), strict=True))
+    linked = 0
+    for i in range(80):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if label[i] != label[j] and block[i] != block[j] and both >= 0.5 * (n[i] + n[j] - both):
+                linked += 1
+                assert (g[j], g[i]) in found
+    assert linked and len(found) < 80 * 79 / 2
+
+
+def test_minima_of_hubs(spark, monkeypatch):
+    from gridloom.llm import common
+
+    monkeypatch.setattr(common, "HUBS", 4)
+    rows = [("hub", k) for k in range(500, 0, -1)] + [(f"k{k % 50}", k) for k in range(200)]
+    table = common.materialize(spark.createDataFrame(rows, "key string, v long"), "test")
+    found = sorted(map(tuple, common.with_least(table, "key", "v", "low").collect()))
+    low = {}
+    for k, v in rows:
+        low[k] = min(v, low.get(k, v))
+    assert found == sorted((k, v, low[k]) for k, v in rows)
+
+
 def test_deduplicate_finds_cut_and_appended_copies(make):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -308,5 +345,5 @@ def test_deduplicate_finds_cut_and_appended_copies(make):
             n = len(w) - 4
             texts += [" ".join(w), " ".join(w + [word() for _ in range(int(n / share) - n)])]
             copies.append(len(texts) - 1)
-    kept = {r.doc_id for r in simhash.deduplicate(make(texts)).collect()}
+    kept = {r.doc_id for r in near.deduplicate(make(texts)).collect()}
     assert kept == brute_kept(texts) == set(range(len(texts))) - set(copies)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridloom.llm import bpe, langid, pii, simhash
+from gridloom.llm import bpe, langid, near, pii
 from gridloom.llm.common import materialize, table
 from gridloom.llm.queries import ORACLE_SQL, QUERIES
 
@@ -93,7 +93,7 @@ def test_queries_are_registered(spark, data):
 
 
 def test_near_copies_names_a_member(spark, data):
-    found = simhash.near_copies(table(spark, data, "documents")).collect()
+    found = near.near_copies(table(spark, data, "documents")).collect()
     ids = {r.doc_id for r in found}
     assert all(r.rep_id in ids and r.rep_id <= r.doc_id for r in found)
     assert np.mean([r.rep_id == r.doc_id for r in found]) > 0.5
