@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import decontam, langid, packing, pii, simhash
+from gridloom.llm import decontam, langid, near, packing, pii
 from gridloom.llm.common import materialize, release, table
 
 
@@ -22,7 +22,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words, similarity 0.8 (operator 5)."""
-    return simhash.deduplicate(docs, size=5, similarity=0.8)
+    return near.deduplicate(docs, size=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
