@@ -4,15 +4,17 @@ Strong patterns (assignments of secrets, access key ids, long hexadecimal string
 wherever they stand. Weak candidates (user or client names, endpoints, opaque tokens) mean little
 alone, so they are only reported if a complementary part stands in the same scope: an opaque
 token needs an identifier or an endpoint, an identifier or endpoint needs a secret. Scopes are
-paragraphs (cut at blank lines), and parts must lie within ``REACH`` code points of each other.
+paragraphs, cut at blank lines; a part that runs over a cut belongs to every scope it touches.
 
-Identifiers, secrets and endpoints are joined as intervals: all parts of a document are sorted by
-place once, and each candidate looks for its nearest partner by binary search, so a document with
-many candidates takes n log n steps and never makes pairs. All parts of a scope lie in one
-document, so the scan is a narrow pass without a shuffle.
+Identifiers, secrets and endpoints are joined as intervals: scopes and parts of a document are
+sorted by place once, and each candidate asks by binary search whether its scope holds a part of the
+other role, so a document with many candidates takes n log n steps and never makes pairs. All parts
+of a scope lie in one document, so the scan is a narrow pass without a shuffle.
 
 Results for odd input: null counts as the empty text, which has no spans (the hash is that of the
-empty string); repeated rows and null ids are kept; an empty table gives an empty result.
+empty string); very long texts are read whole; spans that tie on their start are listed by kind and
+end; repeated rows, null and repeated ids are rows of their own; extra columns are left out; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REACH = 200
 #: In the order in which spans of one place are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "endpoint", "opaque")
 STRONG = 3
@@ -68,22 +70,18 @@ def strong_spans(text: str) -> list[Span]:
 
 
 class _Parts:
-    """Intervals of one role, asked for the nearest one within reach and in the same scope."""
+    """Intervals of one role, asked whether any of them touches the scopes of a span."""
 
     def __init__(self, spans: list[Span], breaks: list[int]):
-        self.spans = sorted((s.start, s.end) for s in spans)
-        self.starts = [s for s, _ in self.spans]
-        self.ends = []  # the furthest end so far
-        for _, e in self.spans:
-            self.ends.append(max(e, self.ends[-1] if self.ends else e))
+        spans = sorted((s.start, s.end) for s in spans)
+        self.starts = [s for s, _ in spans]
+        self.ends = list(accumulate((e for _, e in spans), max))  # the furthest end so far
         self.breaks = breaks
 
     def near(self, span: Span) -> bool:
-        scope = bisect_right(self.breaks, span.start)
-        lo = max(span.start - REACH, self.breaks[scope - 1] if scope else 0)
-        hi = min(span.end + REACH, self.breaks[scope] if scope < len(self.breaks) else span.end + REACH)
-        k = bisect_left(self.starts, hi)
-        return k > 0 and self.ends[k - 1] > lo
+        first, last = bisect_right(self.breaks, span.start), bisect_left(self.breaks, span.end)
+        k = bisect_left(self.starts, self.breaks[last]) if last < len(self.breaks) else len(self.starts)
+        return k > 0 and (first == 0 or self.ends[k - 1] > self.breaks[first - 1])
 
 
 def find_spans(text: str) -> list[Span]:
@@ -94,11 +92,12 @@ def find_spans(text: str) -> list[Span]:
     weak: list[Span] = []
     taken = sorted((s.start, s.end) for s in [*strong, *identifiers, *endpoints])
     starts = [s for s, _ in taken]
+    ends = list(accumulate((e for _, e in taken), max))  # the furthest end so far
     opaque = []
     if strong or identifiers or endpoints:  # an opaque token alone is never reported
         for m in OPAQUE.finditer(text):
             k = bisect_left(starts, m.end())
-            if not any(e > m.start() for _, e in taken[max(0, k - 4) : k]) and _opaque(m.group()):
+            if not (k and ends[k - 1] > m.start()) and _opaque(m.group()):
                 opaque.append(Span("opaque", *m.span()))
     if identifiers or endpoints or opaque:
         breaks = [m.start() for m in re.finditer(r"\n[^\S\n]*\n", text)]
