@@ -92,11 +92,9 @@ t(tid, label, words, tpos, gram) AS (VALUES {", ".join(rows)}),
 ph(label, phrase, n) AS (VALUES {phrases}),
 base AS (SELECT doc_id, pos, label FROM dw JOIN ph ON phrase = CASE WHEN n = 2 THEN g2 ELSE g3 END),
 v AS (SELECT doc_id, tid, label, words, pos, tpos, pos - tpos AS diag FROM dw JOIN t ON g3 = gram),
-o AS (SELECT DISTINCT doc_id, tid, diag FROM v),
-l AS (SELECT *, diag - lag(diag) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS gap FROM o),
-g AS (SELECT doc_id, tid, diag, sum(CASE WHEN gap <= {licenses.DIAGONAL_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS grp FROM l),
-m AS (SELECT doc_id, label, CAST(count(DISTINCT tpos) AS DOUBLE) / (words - {k - 1}) AS cover, max(pos) + {k} - min(pos) AS span, words FROM v JOIN g USING (doc_id, tid, diag) GROUP BY doc_id, tid, grp, label, words),
-s AS (SELECT doc_id, label, cover FROM m WHERE cover >= {licenses.MIN_COVER} AND span <= {licenses.MAX_STRETCH} * words + {licenses.DIAGONAL_GAP}),
+o AS (SELECT DISTINCT doc_id, tid, diag AS band, {licenses.DIAGONAL_GAP} + words // {licenses.DRIFT} AS reach FROM v),
+m AS (SELECT v.doc_id, label, CAST(count(DISTINCT tpos) AS DOUBLE) / (words - {k - 1}) AS cover FROM o JOIN v ON v.doc_id = o.doc_id AND v.tid = o.tid AND diag BETWEEN band - reach AND band + reach GROUP BY v.doc_id, v.tid, band, label, words),
+s AS (SELECT doc_id, label, cover FROM m WHERE cover >= {licenses.MIN_COVER}),
 b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM base GROUP BY doc_id),
 bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT doc_id, label FROM base) GROUP BY doc_id),
 al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM s) GROUP BY doc_id),

@@ -123,6 +123,41 @@ def test_licenses_against_all_places(make, odd_texts):
     assert licenses.licenses(make(["x"]).limit(0)).count() == 0
 
 
+def brute_labels(text):
+    """Labels of verified bands, by all places."""
+    w, out = words(text), set()
+    for label, notice in licenses.TEMPLATES:
+        t = licenses.template_words(notice)
+        grams = [tuple(t[k : k + 3]) for k in range(len(t) - 2)]
+        votes = {(p - q, q) for p in range(len(w) - 2) for q, g in enumerate(grams) if tuple(w[p : p + 3]) == g}
+        reach = licenses.DIAGONAL_GAP + len(t) // licenses.DRIFT
+        for band in {d for d, _ in votes}:
+            if len({q for d, q in votes if abs(d - band) <= reach}) >= licenses.MIN_COVER * len(grams) - 1e-9:
+                out.add(label)
+    return out
+
+
+def test_bands_against_all_places_and_no_chains(make):
+    rng = random.Random(4)
+    notices = [x for _, x in licenses.TEMPLATES]
+    texts = ["Licensed under CC BY-SA 4.0", "Licensed under CC BY-SA 4.0" + " SA 4.0" * 6, *notices]
+    for _ in range(60):  # notices with words lost, added and repeated
+        w = " ".join(rng.choice(notices) for _ in range(rng.randint(1, 2))).split()
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], [w[k], "extra"], [w[k]] * 2, ["other"]])
+        texts.append(" ".join(w))
+    docs = make(texts, clash=True)
+    found = {r.doc_id: set(filter(None, r.labels.split(","))) - set(filter(None, r.base_labels.split(","))) for r in licenses.licenses(docs).collect()}
+    base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in licenses.licenses(docs).collect()}
+    assert all(found[k] == brute_labels(t) - base[k] for k, t in enumerate(texts))
+    assert found[0] == found[1] == {"cc-by-sa"}
+    ends, _, spans = licenses.scan(make(notices))
+    assert {r.doc_id for r in ends.join(spans, "rid").where("cover = 1").select("doc_id").collect()} == set(range(len(notices)))
+    odd = make(["released under the mit license", None, "released under the mit license", ""], [None, None, 3, 3])
+    assert sorted((str(r.doc_id), r.labels) for r in licenses.licenses(odd).collect()) == [("3", ""), ("3", "mit"), ("None", ""), ("None", "mit")]
+
+
 # --- operator 3 -----------------------------------------------------------------------------------
 
 
