@@ -77,6 +77,14 @@ def test_contamination_of_long_items_only_uses_one_pass(spark, make, leaks):
     assert [fields(found[k]) for k in range(len(texts))] == brute_contamination(texts, items)
 
 
+def test_contamination_in_many_rounds_has_the_same_plan(spark, make, leaks, monkeypatch):
+    texts, items = leaks
+    items = [i for i in items if len(words(i[1])) >= 10]
+    monkeypatch.setattr(decontam, "BOOK_ROWS", 7)  # a book that takes many rounds
+    out = decontam.contamination(make(texts), spark.createDataFrame(items, "item_id int, text string"))
+    assert [fields(r) for r in out.orderBy("doc_id").collect()] == brute_contamination(texts, items)
+
+
 def test_contamination_without_rows(spark, make):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id int, text string")
     assert decontam.contamination(make(["x"]).limit(0), bench).count() == 0
