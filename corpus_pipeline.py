@@ -31,8 +31,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by pseudonyms of the same format (operator 9)."""
-    return pii.pseudonymize(docs, counts_prefix=None)
+    """All documents, with personal data replaced by pseudonyms of the same format (operator 9).
+
+    The key is ``gridloom.pii.key`` of the session; without it the public default is used.
+    """
+    return pii.pseudonymize(docs, key=pii.key_of(spark), counts_prefix=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
