@@ -12,10 +12,13 @@ sweep over runs gives exactly what a sweep over single pieces by rank would give
 decreasing), yet its state is bounded by the capacity, not by the data: the driver gets one count
 per length. What grows with the data stays distributed: tokenising (one narrow pass), the rank of
 each piece among those of its length (a number within its partition, plus the sum of the counts
-of earlier partitions), and the lookup of that rank in the plan (binary search).
+of earlier partitions, which a partition gets as one short list joined by its number), and the
+lookup of that rank in the plan (binary search).
 
-Results for odd input: null and empty texts are one piece (the end id alone); repeated rows are
-packed each; ids may be null or repeat; an empty table gives an empty result.
+Results for odd input: null and empty texts are one piece (the end id alone); very long texts are
+cut, never shortened; pieces that tie on their length are told apart by partition and place in it;
+repeated rows are packed each; ids may be null or repeat; extra columns, whatever their names, are
+left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -117,10 +120,12 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan, _ = best_fit_plan(histogram, capacity)
     order = np.lexsort((plan[:, 1], plan[:, 0]))
-    shared = spark.sparkContext.broadcast(plan[order])
+    shared = spark.sparkContext.broadcast(plan[order])  # a few runs a length, whatever the number of pieces
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rk")).alias("rank"))
+    # one list a partition, no longer than the capacity; merge: pieces are dealt by partition, never the lists broadcast
+    lists = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases")).hint("merge")
+    ranked = pieces.join(lists, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.element_at("bases", F.col("length")) + F.col("rk")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs = shared.value
