@@ -1,19 +1,25 @@
 """Language identification by compression with per-language dictionaries.
 
-Each language has a raw-content zstandard dictionary made of passages of its training texts. A
+Each language has a raw-content zstandard dictionary made of whole training texts. A
 text is lower-cased, cut into blocks, and every block is compressed with every dictionary; the
 language with the smallest total is chosen, and a text whose two best totals are within
 ``MIN_MARGIN`` of each other is rejected. Blocks keep the dictionary in play over the whole of a
 long text (else its own past would soon explain it as well as any dictionary).
 
-Fitting reads a bounded sample, set by parameters: at most ``PER_LANG`` distinct labelled texts of
-a language (those of smallest salted hashes) give one passage of ``PASSAGE`` code points each, and a
-dictionary holds at most ``DICT_BYTES`` bytes. The dictionaries, the only thing shared with
-executors, are therefore bounded by the number of languages. Prediction is a narrow pass.
+Sizes are whole bytes, so short texts tie. A text of one block with a narrow margin is therefore
+measured again from each of its first ``SHIFTS`` places on, and the sums decide.
+
+Fitting reads a bounded sample, set by a parameter: at most ``PER_LANG`` distinct labelled texts of
+a language (those of smallest salted hashes), each of them whole. The dictionaries, the only thing
+shared with executors, are therefore bounded by the number of languages and by how long a text can
+be. Prediction is a narrow pass over whole texts.
 
 Results for odd input: a null text, or one without a letter, is ``und`` with score 0 and rejected;
 rows with a null label are predicted but teach nothing; without any labelled text everything is
-``und``; repeated rows count once in training; an empty table gives an empty result.
+``und``; very long texts are read whole; texts that two languages tie on go to the one with more
+distinct texts, then to the first name, and are rejected; repeated rows count once in training and
+are predicted each, as are rows with null or repeated ids; extra columns, whatever their names, are
+left out (``predict``) or kept (``keep_known``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,10 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-PER_LANG = 300
-PASSAGE = 240
-DICT_BYTES = 1 << 17
+PER_LANG = 80
 BLOCK = 512
+SHIFTS = 12
 LEVEL = 9
 #: The sample's keys are broadcast up to so many rows.
 BROADCAST_ROWS = 200_000
@@ -92,17 +97,11 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text") -> lis
     chosen = smallest_draws(keys, "lang", "h", many, PER_LANG)
     if PER_LANG * len(many) <= BROADCAST_ROWS:
         chosen = F.broadcast(chosen)
-    start = F.pmod(F.col("h"), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
-    passages = (
-        hashed.join(chosen, ["lang", "h"], "left_semi")
-        .select("lang", "h", F.lower(F.substring("text", start.cast("int"), F.lit(PASSAGE))).alias("passage"))
-        .groupBy("lang", "h")
-        .agg(F.first("passage").alias("passage"))
-    )
+    texts = hashed.join(chosen, ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
     by: dict[str, list[tuple[int, str]]] = {}
-    for r in passages.collect():  # at most PER_LANG passages of PASSAGE code points a language
-        by.setdefault(r["lang"], []).append((r["h"], r["passage"]))
-    return [(lang, "\n".join(p for _, p in sorted(found)).encode()[-DICT_BYTES:]) for lang, found in sorted(by.items(), key=lambda x: (-many[x[0]], x[0]))]
+    for r in texts.collect():  # at most PER_LANG texts a language
+        by.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return [(lang, "\n".join(t.lower() for _, t in sorted(found)).encode("utf-8", "surrogatepass")) for lang, found in sorted(by.items(), key=lambda x: (-many[x[0]], x[0]))]
 
 
 class Coder:
@@ -123,11 +122,18 @@ class Coder:
         blocks = [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
         return [sum(len(c.compress(b)) for b in blocks) for c in self.coders]
 
+    @staticmethod
+    def margin(sizes: list[int]) -> float:
+        best, *others = sorted(sizes)
+        return (others[0] - best) / others[0] if others else 1.0
+
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """(language, score from 0 to 1, margin)."""
         if not self.coders or not text or not any(map(str.isalpha, text)):
             return UND, 0.0, 0.0
         sizes = self.sizes(text)
+        if len(text) <= BLOCK and self.margin(sizes) < MIN_MARGIN:
+            sizes = [sum(x) for x in zip(*(self.sizes(text[k:]) for k in range(min(SHIFTS, len(text)))), strict=True)]
         order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
         best = order[0]
         if len(order) == 1:
