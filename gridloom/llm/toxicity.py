@@ -6,18 +6,21 @@ count. A GRU reads each window in both directions, attention weighs the places,
 output gives the window's logit. A document's score is that of its highest window; windows of
 ``WINDOW`` words overlap by ``WINDOW - STRIDE`` and cover the whole text.
 
-Training is one task over a bounded sample, set by parameters: at most ``PER_CLASS``
-distinct documents a class (smallest salted hashes), one passage of ``PASSAGE`` code points each.
-Labels are of documents, so after two epochs over all windows the network learns from the highest
-window of each document (multiple-instance learning). The model, a few MB whatever the input, is
+Training is one task over a bounded sample, set by a parameter: at most ``PER_CLASS`` labelled
+documents a class (smallest salted hashes), each of them whole. Labels are of documents, so after
+two epochs over all windows the network learns from the highest window of each document
+(multiple-instance learning). The highest of many windows runs higher than that of one, also in
+clean texts: how much (by the logarithm of their number) is fitted on the clean documents and taken
+off, and the threshold is set on whole documents. The model, a few MB whatever the input, is
 broadcast; scoring is a narrow pass in which the gate inputs of each distinct word are worked out
 once per worker and kept in a table of bounded size.
 
-Results for odd input: null, empty and wordless texts score 0; without labelled rows of both
-classes every document with words scores the share of toxic training rows (0 without any);
-labels that repeat a document count by their largest value, null labels and labels without a
-document count nowhere; repeated rows and null ids are scored like any other; an empty table
-gives an empty result.
+Results for odd input: null, empty and wordless texts score 0; very long texts are scored whole;
+without labelled rows of both classes every document with words scores the share of toxic training
+rows (0 without any); labels that repeat a document count by their largest value, null labels and
+labels without a document's text count nowhere, documents that repeat a labelled id teach by one of
+their texts; repeated rows and null ids are scored like any other, and equal texts score the same;
+extra columns, whatever their names, are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +40,7 @@ from .common import materialize
 from .langid import _Shared, smallest_draws
 
 WINDOW, STRIDE = 48, 32
-PER_CLASS = 1500
-PASSAGE = 3000
+PER_CLASS = 1000
 MAX_WORDS, MIN_DOCS = 20_000, 4
 GRAMS = range(3, 7)
 GRAM_BITS = 14
@@ -288,16 +290,19 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> dict[str, Any]:
         for k in range(0, len(pick), 256):
             part = pick[k : k + 256]
             _train_batch(net, adam, ids, buckets, owners, idx[part], target[part], balance[doc[part]], rate, rng)
-    # the highest of many windows runs higher, so the threshold is set on whole documents
     final = logits()
     top = best(final)
-    score, truth = final[top], target[top]
+    size = np.log(np.bincount(doc, minlength=len(docs))[doc[top]])
+    truth = target[top]
+    clean = truth == 0
+    slope = max(0.0, float(np.polyfit(size[clean], final[top][clean], 1)[0])) if len(set(size[clean])) > 1 else 0.0
+    score = final[top] - slope * size
     order = np.argsort(-score, kind="stable")
     hit = np.cumsum(truth[order])
     f1 = 2 * hit / (np.arange(1, len(order) + 1) + truth.sum())
     k = int(np.argmax(f1))
     low = score[order[k + 1]] if k + 1 < len(order) else score[order[k]] - 1
-    return {"share": share, "vocabulary": vocabulary, "p": net.p, "shift": float((score[order[k]] + low) / 2)}
+    return {"share": share, "vocabulary": vocabulary, "p": net.p, "shift": float((score[order[k]] + low) / 2), "slope": slope}
 
 
 class Scorer:
@@ -309,7 +314,7 @@ class Scorer:
         if "p" in model:
             self.net = Network(0)
             self.net.p = model["p"]
-            self.shift = model["shift"]
+            self.shift, self.slope = model["shift"], model["slope"]
             self.number = {w: k + 1 for k, w in enumerate(model["vocabulary"])}
             self.table = np.empty((1024, 6 * HIDDEN), np.float32)
             self.row: dict[str, int] = {}
@@ -361,7 +366,7 @@ class Scorer:
         idx = np.where(inside, rows[np.minimum(place, len(rows) - 1)], last)
         logit = np.concatenate([self.net.forward(g, idx[k : k + 1024].T) for k in range(0, len(idx), 1024)])
         first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        top = np.maximum.reduceat(logit, first)
+        top = np.maximum.reduceat(logit, first) - self.slope * np.log(np.diff(np.r_[first, len(doc)]))
         out[doc[first]] = 1 / (1 + np.exp(-(top - self.shift)))
         return out
 
@@ -377,23 +382,22 @@ def _scorer(shared: _Shared) -> Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """The bounded training sample ``passage, y``: at most PER_CLASS rows a class."""
+    """The bounded training sample ``text, y``: at most PER_CLASS documents a class, all with a text."""
     marked = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("y").isNotNull()).groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
-    marked = materialize(marked, "toxicity-labels")
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text") != "")
+    marked = materialize(marked.join(texts.select("doc_id"), "doc_id", "left_semi"), "toxicity-labels")
     many = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}  # a row a label value
     chosen = smallest_draws(marked, "y", "doc_id", many, PER_CLASS)
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    start = F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - PASSAGE, F.lit(1))) + 1
-    # the chosen ids are bounded by PER_CLASS, so the broadcast is
-    found = texts.join(F.broadcast(chosen), "doc_id").select(F.substring("text", start.cast("int"), F.lit(PASSAGE)).alias("passage"), "y")
-    return found.where(F.col("passage") != "").distinct()
+    # the chosen ids are bounded by PER_CLASS, so the broadcast is; repeated ids leave one text each
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    return found.select(F.col("t.text").alias("text"), "y")
 
 
 def _packed(model: dict[str, Any]) -> bytes:
     out = io.BytesIO()
     arrays = {f"p_{k}": v for k, v in model.get("p", {}).items()}
-    np.savez(out, share=model["share"], shift=model.get("shift", 0.0), vocabulary=np.array(model.get("vocabulary", []), dtype=str), **arrays)
+    np.savez(out, share=model["share"], shift=model.get("shift", 0.0), slope=model.get("slope", 0.0), vocabulary=np.array(model.get("vocabulary", []), dtype=str), **arrays)
     return out.getvalue()
 
 
@@ -401,7 +405,7 @@ def _unpacked(data: bytes) -> dict[str, Any]:
     with np.load(io.BytesIO(data)) as z:
         model: dict[str, Any] = {"share": float(z["share"])}
         if any(k.startswith("p_") for k in z.files):
-            model |= {"shift": float(z["shift"]), "vocabulary": z["vocabulary"].tolist(), "p": {k[2:]: z[k] for k in z.files if k.startswith("p_")}}
+            model |= {"shift": float(z["shift"]), "slope": float(z["slope"]), "vocabulary": z["vocabulary"].tolist(), "p": {k[2:]: z[k] for k in z.files if k.startswith("p_")}}
     return model
 
 

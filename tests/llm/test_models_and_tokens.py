@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -126,7 +127,7 @@ def test_packing_round_trip(make, odd_texts):
 def test_language_id_on_held_out_rows(spark, data):
     docs = spark.read.parquet(data.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
-    assert {lang for lang, _ in model} == {"en", "fr", "de", "es"} and all(len(d) <= langid.DICT_BYTES for _, d in model)
+    assert {lang for lang, _ in model} == {"en", "fr", "de", "es"}
     rows = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(langid.held_out(F.col("doc_id"))).collect()
     assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
     assert np.mean([r.rejected for r in rows]) < 0.03 and all(0 <= r.score <= 1 for r in rows)
@@ -134,6 +135,45 @@ def test_language_id_on_held_out_rows(spark, data):
     assert kept.columns == docs.columns and kept.count() == langid.predict(docs, model).where("not rejected").count()
 
 
+def test_sizes_and_choice_by_definition(spark, data, odd_texts):
+    """Every block by a compressor made anew, whole training texts in the dictionary."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 120")
+    train = docs.where(~langid.held_out(F.col("doc_id")))
+    model = langid.fit(train)
+    by = defaultdict(set)
+    for r in train.collect():
+        if r.lang and any(map(str.isalpha, r.text or "")):
+            by[r.lang].add(r.text.lower())
+    assert {k: sorted(v.decode().split("\n")) for k, v in model} == {k: sorted("\n".join(v).split("\n")) for k, v in by.items()}
+    assert [k for k, _ in model] == sorted(by, key=lambda k: (-len(by[k]), k)) and max(map(len, by.values())) <= langid.PER_LANG
+
+    def size(content, text):
+        raw, out = text.lower().encode(), 0
+        for k in range(0, len(raw), langid.BLOCK):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=langid.LEVEL)
+            frame = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[k : k + langid.BLOCK])
+            assert zstandard.ZstdDecompressor(dict_data=d).decompress(frame, max_output_size=langid.BLOCK) == raw[k : k + langid.BLOCK]
+            out += len(frame)
+        return out
+
+    coder = langid.Coder(model)
+    for text in [t for t in odd_texts if t and len(t) < 3000] + [r.text[:2500] for r in docs.limit(15).collect() if r.text]:
+        lang, score, margin = coder.predict(text)
+        if not any(map(str.isalpha, text)):
+            assert (lang, score, margin) == ("und", 0, 0)
+            continue
+        sizes = [size(c, text) for _, c in model]
+        low, second = sorted(sizes)[:2]
+        if len(text) <= langid.BLOCK and (second - low) / second < langid.MIN_MARGIN:
+            sizes = [sum(size(c, text[k:]) for k in range(min(langid.SHIFTS, len(text)))) for _, c in model]
+            low, second = sorted(sizes)[:2]
+        assert lang == model[sizes.index(low)][0] and margin == pytest.approx((second - low) / second)
+        assert score == pytest.approx(1 / sum(2 ** ((low - s) / second / langid.SCORE_STEP) for s in sizes))
+
+
 def test_held_out_rule(spark):
     rows = spark.range(200).select("id", langid.held_out(F.col("id")).alias("a"), toxicity.held_out(F.col("id")).alias("b")).collect()
     assert all(r.a == (zlib.crc32(str(r.id).encode()) % 4 == 2) and r.b == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in rows)
@@ -204,6 +244,54 @@ def test_gradients():
             assert (up - down) / 2e-3 == pytest.approx(grad.reshape(-1)[k], rel=0.02, abs=2e-3), name
 
 
+def test_scores_by_definition():
+    """One number at a time: embeddings, both directions, attention, windows, the highest one."""
+    model = toxicity.train([f"you moron {k} " + "so it goes " * (k % 25) for k in range(30)] + [f"good day {k} " + "so it goes " * (k % 40) for k in range(30)], [1] * 30 + [0] * 30)
+    p, H = {k: v.astype(float) for k, v in model["p"].items()}, toxicity.HIDDEN
+    number = {w: k + 1 for k, w in enumerate(model["vocabulary"])}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+
+    def gates(word):
+        buckets, _ = toxicity.gram_buckets([word])
+        x = list(p["words"][number.get(word, 0)]) + [sum(p["grams"][b][k] for b in buckets) / len(buckets) for k in range(toxicity.CHAR_DIM)]
+        return [sum(x[i] * p["wx"][i][k] for i in range(len(x))) + p["bx"][k] for k in range(6 * H)]
+
+    def read(inputs, d):
+        s, out = [0.0] * H, []
+        for x in inputs:
+            x = x[d * 3 * H :]
+            rec = [sum(s[i] * p["u"][d][i][k] for i in range(H)) for k in range(3 * H)]
+            z, r = ([sig(x[o + k] + rec[o + k]) for k in range(H)] for o in (0, H))
+            n = [math.tanh(x[2 * H + k] + r[k] * rec[2 * H + k]) for k in range(H)]
+            s = [z[k] * s[k] + (1 - z[k]) * n[k] for k in range(H)]
+            out.append(s)
+        return out
+
+    def logit(window):
+        inputs = [gates(w) for w in window]
+        states = [a + b for a, b in zip(read(inputs, 0), read(inputs[::-1], 1)[::-1], strict=True)]
+        e = [math.exp(sum(math.tanh(sum(s[i] * p["wa"][i][k] for i in range(2 * H)) + p["ba"][k]) * p["va"][k] for k in range(toxicity.ATTENTION))) for s in states]
+        pooled = [sum(x * s[k] for x, s in zip(e, states, strict=True)) / sum(e) for k in range(2 * H)]
+        return sum(pooled[k] * p["w"][k] for k in range(2 * H)) + p["b"][0]
+
+    texts = ["you moron", "a", "Good DAY to you, unseen wörd", "so it goes " * 20 + "moron " + "nice day " * 15]
+    want = []
+    for t in texts:
+        w = t.lower().replace(",", "").split()
+        found = [logit(w[s : s + toxicity.WINDOW]) for s in toxicity.window_starts(len(w))]
+        want.append(sig(max(found) - model["slope"] * math.log(len(found)) - model["shift"]))
+    assert np.allclose(toxicity.Scorer(model).scores(texts), want, atol=1e-4)
+
+
+def test_training_sample_takes_whole_texts_of_documents_that_exist(spark, make, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_CLASS", 5)
+    long_ = "word " * 20_000 + "end"
+    docs = make([long_, "two", "three", "three again", None, "", "six", "six"], [1, 2, 3, 3, 4, 5, 6, 6], clash=True)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5000)], "doc_id long, toxic int")
+    rows = sorted((r.text, r.y) for r in toxicity.sample(docs, labels).collect())
+    assert (long_, 1) in rows and ("two", 0) in rows and ("six", 0) in rows and len(rows) == 4
+
+
 def test_padding_changes_nothing():
     net = toxicity.Network(0)
     g = net.gates(np.random.default_rng(1).normal(size=(4, toxicity.WORD_DIM + toxicity.CHAR_DIM)).astype(np.float32))
