@@ -209,9 +209,9 @@ def correlation_expr(a: str, b: str) -> str:
     return f"covar_pop({a}, {b}) / ((stddev_pop({a}) + 1e-6) * (stddev_pop({b}) + 1e-6))"
 
 
-def vector_query(plan: FeaturePlan, side: int = 16) -> str:
+def vector_query(plan: FeaturePlan, side: int = 16, zero: tuple[str, ...] = ()) -> str:
     """``patch_id, pos, value`` of a whole plan: one sub-select for each family and scale."""
-    parts, base = [], pixels(plan.bands) + pooled(plan.bands, plan.max_scale, side)
+    parts, base = [], pixels(plan.bands, zero) + pooled(plan.bands, plan.max_scale, side)
     places: dict[tuple, list[int]] = {}
     for k, f in enumerate(plan.features):
         places.setdefault(tuple(f), []).append(k)
@@ -221,9 +221,9 @@ def vector_query(plan: FeaturePlan, side: int = 16) -> str:
             continue
         ctes, made, source = family(name, side >> scale)
         inner = statement([channels(plan, targets, scale), *ctes], f"SELECT patch_id, channel, {', '.join(f'{made[m]} AS {m}' for m in measures)} {source}", recursive=name == "blobs")
-        for m in measures:
-            for c in targets:
-                parts += [f"SELECT patch_id, {k} AS pos, {m} AS value FROM ({inner}) WHERE channel = '{c}'" for k in places.get((m, scale, c, None), [])]
+        asked = [f"({k}, '{c}', '{m}')" for m in measures for c in targets for k in places.get((m, scale, c, None), [])]
+        value = " ".join(f"WHEN '{m}' THEN i.{m}" for m in measures)
+        parts.append(f"SELECT patch_id, pos, CASE measure {value} END AS value FROM ({inner}) i JOIN (VALUES {', '.join(asked)}) a(pos, channel, measure) ON i.channel = a.channel")
     body = f"SELECT CAST(patch_id AS BIGINT) AS patch_id, CAST(pos AS INT) AS pos, {rounded({'value': 'value'})} FROM ({' UNION ALL '.join(parts)})"
     return statement(base, body)
 

@@ -144,6 +144,13 @@ _vector("feature_vector_33_long", preset("33"))
 _vector("feature_vector_33_relational", preset("33"), "relational")
 _vector("feature_vector_52_long", preset("52"))
 _vector("feature_vector_rgb_long", PLAN_RGB_SMALL)
+_vector("feature_vector_377_long", preset("377"))
+
+
+@query("feature_vector_389_zeroed_long", O.vector_query(preset("389"), zero=("B10",)))
+def zeroed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = extract(patches(spark, sf_dir, 13), preset("389"), zero_bands=("B10",))
+    return rounded(rows.select("patch_id", F.posexplode("features").alias("pos", "value")))
 
 
 @query("feature_vector_377")
@@ -404,7 +411,7 @@ def train_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.r2_summary(L.r2_by_position(L.mean_baseline(part(z, "test"), part(z, "train")))).select("native_r2"))
 
 
-N_DRAWS = 40
+N_DRAWS = 200
 
 
 def _draws_sql(n: str) -> str:
@@ -413,10 +420,11 @@ def _draws_sql(n: str) -> str:
 
 @query(
     "bootstrap_multiplicity",
-    f"WITH n AS (SELECT CAST(100 AS BIGINT) AS n), {_draws_sql('n')} SELECT CAST(draw AS BIGINT) AS draw, CAST(row AS BIGINT) AS row, k AS n FROM mult",
+    f"WITH n AS (SELECT count(*) AS n FROM embeddings), {_draws_sql('n')} SELECT CAST(draw AS BIGINT) AS draw, CAST(row AS BIGINT) AS row, k AS n FROM mult",
 )
 def bootstrap_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.multiplicities(table(spark, sf_dir, "embeddings"), "row", 100, N_DRAWS)
+    rows = table(spark, sf_dir, "embeddings")
+    return R.multiplicities(rows, "row", rows.count(), N_DRAWS)
 
 
 def _boot_sql(value: str, score: str, name: str, extra: str = "") -> str:
