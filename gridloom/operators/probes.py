@@ -116,10 +116,6 @@ def _unscaled(raw: Head, blocks: tuple[Block, Block | None], beta: float, width:
 # --- paired tests -----------------------------------------------------------------------------
 
 
-def log_factorials(n: Column) -> Column:
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + F.log(i.cast("double")))
-
-
 def mcnemar_pvalue(gained: Column, lost: Column) -> Column:
     """Exact two-sided binomial test of the discordant pairs; 1 without any."""
     n = (gained + lost).cast("int")

@@ -18,14 +18,23 @@ INDEX_TEXT = {
 }
 
 
+# Fixed value: the text for the pan channel.
+PAN_TEXT = "mean of all 13 TIFF channels; B10 fixed to zero in b10_zeroed variant"
+
+
 def physical_definition(name: Column) -> Column:
-    """Text for a feature name; null for a name without one."""
-    out = F.when(name.contains("ndvi"), INDEX_TEXT["ndvi"])
-    for index, text in list(INDEX_TEXT.items())[1:]:
-        out = out.when(name.contains(index), text)
-    out = out.when(name.startswith("corr_"), F.replace(F.substring(name, 6, 1000), F.lit("_"), F.lit(";")))
-    out = out.when(name.contains("pan"), "mean of all 13 channels; B10 fixed to zero in the b10_zeroed variant")
-    return out.when(name.rlike(r"_B[0-9]{1,2}A?$"), F.regexp_extract(name, r"_(B[0-9]{1,2}A?)$", 1))
+    """Text for a feature name: of an index in it, the two channels of a correlation, pan, or the band.
+
+    A name without a definition is an error; a null name stays null.
+    """
+    rules = [(name.contains(index), F.lit(text)) for index, text in INDEX_TEXT.items()]
+    rules += [
+        (name.startswith("corr_"), F.array_join(F.slice(F.split(name, "_"), 2, 1000), ";")),
+        (name.contains("pan"), F.lit(PAN_TEXT)),
+        (name.rlike("_(B0[1-9]|B1[0-2]|B8A)$"), F.element_at(F.split(name, "_"), -1)),
+        (name.isNotNull(), F.raise_error(F.concat(F.lit("no definition of the feature "), name)).cast("string")),
+    ]
+    return F.coalesce(*[F.when(case, text) for case, text in rules])
 
 
 def score_curve(rounds: DataFrame) -> DataFrame:

@@ -575,9 +575,17 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expected_jobs(spark)
 
 
-@query("definition_text", "SELECT name, CASE WHEN name LIKE '%ndvi%' THEN '(B08 - B04) / (B08 + B04 + epsilon)' WHEN name LIKE 'corr%' THEN 'B04;B08' ELSE 'B05' END AS definition FROM (VALUES ('std_s1_ndvi'), ('corr_B04_B08'), ('std_B05')) t(name)")
+_NAMES_389 = ", ".join(f"('{n}')" for n in preset("389").names)
+_INDEX_SQL = " ".join(f"WHEN contains(name, '{index}') THEN '{text}'" for index, text in V.INDEX_TEXT.items())
+
+
+@query(
+    "definition_text",
+    f"SELECT name, CASE {_INDEX_SQL} WHEN name LIKE 'corr\\_%' ESCAPE '\\' THEN replace(name[6:], '_', ';') WHEN contains(name, 'pan') "
+    f"THEN '{V.PAN_TEXT}' ELSE string_split(name, '_')[-1] END AS definition FROM (VALUES {_NAMES_389}) t(name)",
+)
 def definition_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = spark.createDataFrame([("std_s1_ndvi",), ("corr_B04_B08",), ("std_B05",)], "name string")
+    names = spark.createDataFrame([(n,) for n in preset("389").names], "name string")
     return names.select("name", V.physical_definition(F.col("name")).alias("definition"))
 
 

@@ -268,3 +268,15 @@ def test_paired_metrics(spark):
     assert (m["gained_correct"], m["lost_correct"], m["both_correct"], m["both_wrong"]) == (40, 0, 40, 0)
     assert m["accuracy_delta"] == pytest.approx(0.5) and m["relative_error_reduction"] == 1 and m["mcnemar_pvalue"] < 1e-9
     assert m["accuracy_ci_low"] <= 0.5 <= m["accuracy_ci_high"] and m["log_loss_improvement"] > 0
+
+
+def test_definitions_of_unknown_names(spark):
+    from gridloom.operators.reports import physical_definition
+
+    def text(name):
+        return spark.createDataFrame([(name,)], "n string").select(physical_definition(F.col("n"))).first()[0]
+
+    assert text("corr_B04_B08") == "B04;B08" and text("mean_B8A") == "B8A" and text("corr_ndvi_pan").startswith("(B08 - B04)") and text(None) is None
+    for name in ("mean_B13", "nothing"):
+        with pytest.raises(Exception, match="no definition"):
+            text(name)
