@@ -1,19 +1,25 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous supersteps.
 
 Documents longer than the capacity are cut (the first piece may be shorter); every other one is
-one piece. Pieces are sorted by length, gaps (what is free in the open sequences) by size, and in
-each superstep the pieces of the next length, longest first, sweep over the sorted gaps: each goes
-to its successor, the smallest gap that holds it. Pieces of equal length that want the same gap
-are told apart by their rank; the gaps are updated, and the next superstep follows.
-
-Lengths and gaps are whole numbers up to the capacity, so both sorted sides are kept as runs:
-pieces of one length by their count, sequences of one gap by ranges of sequence numbers. The
-sweep over runs gives exactly what a sweep over single pieces by rank would give (best-fit
-decreasing), yet its state is bounded by the capacity, not by the data: the driver gets one count
-per length. What grows with the data stays distributed: tokenising (one narrow pass), the rank of
-each piece among those of its length (a number within its partition, plus the sum of the counts
-of earlier partitions, which a partition gets as one short list joined by its number), and the
-lookup of that rank in the plan (binary search).
+one piece. Pieces are range-sorted by length, and a superstep takes those of one class of lengths
+``(low, top]``, longest class first:
+
+1. Gaps (what is free in the open sequences) are turned into slots: ``gap // top`` that hold any
+   piece of the class, and what is left over if it may hold one too. Slots and pieces are
+   range-sorted together by size, largest first, over as many ranges as their number asks for.
+2. Successor sweep, range by range in parallel: each piece takes the smallest slot not yet taken
+   that holds it, which is the last one met before it. Pieces that want the same slot are told
+   apart by their rank in the range. A range ends with loose pieces (no slot was left when they
+   came) and with open slots.
+3. Ranges know of each other by two counts only, loose pieces and open slots. From these the
+   driver tells each run of loose pieces which run of open slots of an earlier range it gets, and
+   a join by (range, place) settles them: the whole is exactly the sweep of one sorted list.
+4. What is still loose opens new sequences, ``capacity // top`` pieces each, by rank. Gaps are
+   updated, and the next superstep follows.
+
+The driver holds two counts a range of ``RANGE_ROWS`` rows and nothing of a piece or a gap; every
+superstep ends in tables in the shared folder, so a lost executor costs part of one step. The
+number of supersteps depends on the capacity alone (17 for 1,024).
 
 Results for odd input: null and empty texts are one piece (the end id alone); very long texts are
 cut, never shortened; pieces that tie on their length are told apart by partition and place in it;
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +39,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_bpe, tokenizer_path
-from .common import materialize
+from .common import materialize, parts, release
 
 DEFAULT = "byte_bpe_50k.json"
 END_ID = 2
 CAPACITY = 1024
+#: Slots and pieces that one task of a sweep is meant to hold.
+RANGE_ROWS = 500_000
+_MATCHED, _LOOSE, _OPEN = 0, 1, 2
+_FIELDS = ["doc_id", "piece", "start", "length", "ids_crc32", "pid"]
 
 
 def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -46,106 +57,178 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenized_pieces(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY, end_id=END_ID) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, part, rk``; rk: rank by length in partition part."""
+    """``doc_id, piece, start, length, ids_crc32, pid``; pid: number of the piece, from its partition and place."""
     picked = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        pid = TaskContext.get().partitionId() << 40
         bpe = byte_bpe(tokenizer_path(path, DEFAULT))
-        seen = np.zeros(capacity + 1, np.int64)
         for b in batches:
             at, rows = [], []
             for i, t in enumerate(b.column(1)):
                 ids = np.append(bpe.ids(t.as_py() or ""), np.uint32(end_id)).astype("<u4")
                 for k, (s, n) in enumerate(pieces_of(len(ids), capacity)):
                     at.append(i)
-                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes()), seen[n]))
-                    seen[n] += 1
-            piece, start, length, crc, rk = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                    pa.array(crc, pa.int64()), pa.array([part] * len(at), pa.int32()), pa.array(rk, pa.int64()),
-                ],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rk"],
-            )
+                    rows.append((k, s, n, zlib.crc32(ids[s : s + n].tobytes()), pid))
+                    pid += 1
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
+            arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.int64()] * 4), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *arrays], names=_FIELDS)
+
+    return picked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, pid long")
 
-    return picked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rk long")
 
+def class_tops(capacity: int) -> list[int]:
+    """Largest lengths of the classes, descending: whole shares of the capacity down to an eighth, then two classes an octave."""
+    tops = [capacity // j for j in range(1, 9)]
+    while tops[-1] > 1:
+        tops += [tops[-1] * 3 // 4, tops[-1] // 2]
+    return sorted({t for t in tops if t > 0}, reverse=True)
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Runs ``(length, rank0, sequence0, per_sequence, offset0)`` and the number of sequences.
 
-    The piece of rank ``r`` in a run lies in sequence ``sequence0 + (r - rank0) // per_sequence``
-    at ``offset0 + (r - rank0) % per_sequence * length``.
+def _sweep(events: DataFrame) -> DataFrame:
+    """Match each piece of a range with the smallest slot that holds it.
+
+    ``events``: ``size, kind, weight`` and the fields of a piece, sorted by size, largest first;
+    kind 0 is a slot (``pid``: its sequence, ``weight``: how many alike). Result: the fields of a
+    piece, ``sequence_id, state, part, at, weight``; ``at`` counts loose pieces in order and open
+    slots from the smallest on.
     """
-    gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by gap: (first sequence, how many)
-    runs, opened = [], 0
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        gap = length
-        while left:
-            while gap <= capacity and not gaps[gap]:
-                gap += 1  # the successor: the smallest gap that holds a piece
-            if gap > capacity:
-                each = capacity // length
-                many = -(-left // each)
-                gaps[capacity].append((opened, many))
-                opened += many
-                gap = capacity
-            first, many = gaps[gap].pop()
-            each = gap // length  # the gap that a piece leaves is again the smallest that holds the next
-            take = min(left, many * each)
-            full, rest = divmod(take, each)
-            runs.append((length, rank, first, each, capacity - gap))
-            if full:
-                gaps[gap - each * length].append((first, full))
-            if rest:
-                gaps[gap - rest * length].append((first + full, 1))
-            if many - full - (rest > 0):
-                gaps[gap].append((first + full + (rest > 0), many - full - (rest > 0)))
-            rank, left = rank + take, left - take
-    return np.array(runs, np.int64).reshape(-1, 5), opened
-
-
-def pack(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY, end_id=END_ID) -> DataFrame:
+    kind_of_id = events.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        slots: list[list[int]] = []  # (sequence, how many), the smallest last
+        loose, schema = 0, None
+
+        def out(fields: list[pa.Array], sequence, state, at, weight) -> pa.RecordBatch:
+            n = len(state)
+            more = [pa.array(sequence, pa.int64()), pa.array(state, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(weight, pa.int64())]
+            return pa.RecordBatch.from_arrays([*fields, *more], names=[*_FIELDS, "sequence_id", "state", "part", "at", "weight"])
+
+        for b in batches:
+            schema = b.schema
+            keep, sequence, state, at = [], [], [], []
+            for i, (kind, weight, pid) in enumerate(zip(b.column("kind").to_pylist(), b.column("weight").to_pylist(), b.column("pid").to_pylist(), strict=True)):
+                if kind == 0:
+                    slots.append([pid, weight])
+                    continue
+                keep.append(i)
+                if slots:
+                    last = slots[-1]
+                    sequence.append(last[0])
+                    last[1] -= 1
+                    if not last[1]:
+                        slots.pop()
+                    state.append(_MATCHED)
+                    at.append(0)
+                else:
+                    sequence.append(None)
+                    state.append(_LOOSE)
+                    at.append(loose)
+                    loose += 1
+            pieces = b.take(pa.array(keep, pa.int64()))
+            yield out([pieces.column(f) for f in _FIELDS], sequence, state, at, [1] * len(keep))
+        first, step = 0, 10_000
+        slots.reverse()
+        for k in range(0, len(slots), step):
+            some = slots[k : k + step]
+            starts = np.cumsum([first, *(w for _, w in some)])
+            first = int(starts[-1])
+            nulls = [pa.nulls(len(some), schema.field(f).type) for f in _FIELDS]
+            yield out(nulls, [s for s, _ in some], [_OPEN] * len(some), starts[:-1], [w for _, w in some])
+
+    return events.mapInArrow(run, f"doc_id {kind_of_id}, piece int, start long, length long, ids_crc32 long, pid long, sequence_id long, state int, part int, at long, weight long")
+
+
+def carry(loose: dict[int, int], open_: dict[int, int]) -> tuple[list[tuple], dict[int, int], int]:
+    """Which open slots of earlier ranges the loose pieces of each range get.
+
+    Runs ``(part, at, n, to_part, to_at)`` of loose pieces, where to_part None means that no slot
+    is left and to_at is the rank among such pieces; how many open slots of each range are taken;
+    and the number of pieces without one.
+    """
+    stack: list[tuple[int, int, int]] = []  # (range, open slots taken, open slots left), the smallest last
+    runs, taken, rest = [], {}, 0
+    for part in sorted(loose.keys() | open_.keys()):
+        at, n = 0, loose.get(part, 0)
+        while at < n and stack:
+            source, used, left = stack.pop()
+            take = min(left, n - at)
+            runs.append((part, at, take, source, used))
+            taken[source] = used + take
+            if left > take:
+                stack.append((source, used + take, left - take))
+            at += take
+        if at < n:
+            runs.append((part, at, n - at, None, rest))
+            rest += n - at
+        if open_.get(part):
+            stack.append((part, 0, open_[part]))
+    return runs, taken, rest
+
+
+def _superstep(todo: DataFrame, gaps: DataFrame, opened: int, top: int, low: int, capacity: int, ranges: int) -> tuple[DataFrame, DataFrame, int]:
+    """Places for the pieces of one class: ``(pieces with sequence_id, gaps after, sequences opened so far)``."""
+    spark = todo.sparkSession
+    whole = F.struct(F.col("gap").alias("size"), F.expr(f"gap div {top}").alias("weight"))
+    left = F.struct((F.col("gap") % top).alias("size"), F.lit(1).cast("long").alias("weight"))
+    fits = lambda s: (s["weight"] > 0) & (s["size"] > low)
+    slots = gaps.select("sequence_id", F.explode(F.filter(F.array(whole, left), fits)).alias("s")).select(
+        F.col("s.size").alias("size"), F.lit(0).alias("kind"), F.col("s.weight").alias("weight"),
+        *(F.col("sequence_id").alias(f) if f == "pid" else F.lit(None).cast(todo.schema[f].dataType).alias(f) for f in _FIELDS),
+    )
+    events = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("weight"), *_FIELDS))
+    order = [F.desc("size"), "kind", "pid"]
+    swept = materialize(_sweep(events.repartitionByRange(ranges, *order).sortWithinPartitions(*order)), "packing-sweep")
+    sums = swept.where(F.col("state") != _MATCHED).groupBy("part", "state").agg(F.sum("weight").alias("n")).collect()  # two rows a range
+    runs, taken, rest = carry({r.part: r.n for r in sums if r.state == _LOOSE}, {r.part: r.n for r in sums if r.state == _OPEN})
+    each = capacity // top
+    placed = swept.where(F.col("state") == _MATCHED).select(*_FIELDS, "sequence_id")
+    if runs:
+        dealt = F.broadcast(spark.createDataFrame(runs, "part int, at0 long, n long, to_part int, to_at long"))  # at most two rows a range
+        loose = swept.where(F.col("state") == _LOOSE).join(dealt, "part").where((F.col("at") >= F.col("at0")) & (F.col("at") < F.col("at0") + F.col("n")))
+        loose = loose.select(*_FIELDS, "to_part", (F.col("to_at") + F.col("at") - F.col("at0")).alias("unit"))
+        placed = placed.unionByName(loose.where("to_part is null").select(*_FIELDS, F.expr(f"{opened}L + unit div {each}").alias("sequence_id")))
+    if taken:
+        used = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, used long"))  # a row a range
+        units = swept.where(F.col("state") == _OPEN).join(used, "part").where(F.col("at") < F.col("used"))
+        units = units.select(F.col("part").alias("to_part"), F.explode(F.sequence("at", F.least(F.col("at") + F.col("weight"), "used") - 1)).alias("unit"), "sequence_id")
+        placed = placed.unionByName(loose.join(units, ["to_part", "unit"]).select(*_FIELDS, "sequence_id"))
+    placed = materialize(placed, "packing-placed")
+    new = -(-rest // each)
+    changes = placed.select("sequence_id", (-F.col("length")).alias("gap")).unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+    after = materialize(gaps.unionByName(changes).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).where("gap > 0"), "packing-gaps")
+    release(swept)
+    release(gaps)
+    return placed, after, opened + new
+
+
+def pack(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY, end_id=END_ID, range_rows=RANGE_ROWS) -> DataFrame:
     """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
     spark = docs.sparkSession
-    kind = docs.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
-    pieces = materialize(tokenized_pieces(docs, id_col, text_col, path, capacity, end_id), "packing-pieces")
-    counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "packing-counts")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan, _ = best_fit_plan(histogram, capacity)
-    order = np.lexsort((plan[:, 1], plan[:, 0]))
-    shared = spark.sparkContext.broadcast(plan[order])  # a few runs a length, whatever the number of pieces
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
-    # one list a partition, no longer than the capacity; merge: pieces are dealt by partition, never the lists broadcast
-    lists = base.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases")).hint("merge")
-    ranked = pieces.join(lists, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.element_at("bases", F.col("length")) + F.col("rk")).alias("rank"))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared.value
-        for b in batches:
-            length, rank = (b.column(k).to_numpy(zero_copy_only=False) for k in (3, 5))
-            lo, hi = np.searchsorted(runs[:, 0], length), np.searchsorted(runs[:, 0], length, side="right")
-            at = _last_not_after(runs[:, 1], lo, hi, rank)
-            k = rank - runs[at, 1]
-            seq = runs[at, 2] + k // runs[at, 3]
-            off = runs[at, 4] + k % runs[at, 3] * length
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-
-
-def _last_not_after(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each row the last place in values[lo:hi] (ascending) whose value is not over x."""
-    lo, hi = lo.copy(), hi.copy()
-    while (hi - lo > 1).any():
-        mid = (lo + hi) // 2
-        right = (hi - lo > 1) & (values[np.minimum(mid, len(values) - 1)] <= x)
-        lo, hi = np.where(right, mid, lo), np.where((hi - lo > 1) & ~right, mid, hi)
-    return lo
+    raw = materialize(tokenized_pieces(docs, id_col, text_col, path, capacity, end_id), "packing-tokenized")
+    # sorted by length, so that a superstep reads only the row groups of its class
+    pieces = materialize(raw.repartitionByRange(parts(raw), F.desc("length"), "pid").sortWithinPartitions(F.desc("length"), "pid"), "packing-pieces")
+    release(raw)
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    gaps, opened, done = spark.createDataFrame([], "sequence_id long, gap long"), 0, []
+    tops = class_tops(capacity)
+    for top, low in zip(tops, [*tops[1:], 0], strict=True):
+        n = sum(c for length, c in histogram.items() if low < length <= top)
+        if n:
+            todo = pieces.where((F.col("length") > low) & (F.col("length") <= top))
+            placed, gaps, opened = _superstep(todo, gaps, opened, top, low, capacity, -(-(n + opened) // range_rows))
+            done.append(placed)
+    if not done:
+        return pieces.select(*_FIELDS[:-1], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    everything = reduce(DataFrame.unionByName, done)
+    # a sequence holds at most `capacity` pieces
+    before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = everything.repartition(parts(everything), "sequence_id")
+    return dealt.select(*_FIELDS[:-1], "sequence_id", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long").alias("offset"))

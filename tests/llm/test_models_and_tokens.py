@@ -66,27 +66,80 @@ def best_fit_decreasing(lengths, capacity):
     return sorted(gaps)
 
 
+def supersteps(lengths, capacity):
+    """The supersteps over one sorted list of slots and pieces, without ranges."""
+    gaps, tops = [], packing.class_tops(capacity)
+    for top, low in zip(tops, [*tops[1:], 0], strict=True):
+        slots = [(-g, 0, s) for s, g in enumerate(gaps) for _ in range(g // top)]
+        slots += [(-(g % top), 0, s) for s, g in enumerate(gaps) if g % top > low]
+        stack, loose = [], []
+        for size, kind, s in sorted(slots + [(-n, 1, 0) for n in lengths if low < n <= top]):
+            if kind == 0:
+                stack.append(s)
+            elif stack:
+                gaps[stack.pop()] += size
+            else:
+                loose.append(-size)
+        each = capacity // top
+        gaps += [capacity - sum(loose[k : k + each]) for k in range(0, len(loose), each)]
+        assert all(g >= 0 for g in gaps)
+    return sorted(gaps)
+
+
 @pytest.mark.parametrize("seed", range(20))
-def test_runs_pack_as_single_pieces_do(seed):
+def test_ranges_carry_as_one_list_does(seed):
     rng = random.Random(seed)
-    capacity = rng.choice([8, 50, 1024])
-    lengths = [rng.choice([1, capacity, rng.randint(1, capacity), rng.randint(1, max(1, capacity // 5))]) for _ in range(rng.randint(0, 400))]
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    plan, opened = packing.best_fit_plan(counts, capacity)
-    filled, places = defaultdict(int), defaultdict(set)
-    for n, count in counts.items():
-        runs = sorted((r for r in plan.tolist() if r[0] == n), key=lambda r: r[1])
-        assert runs[0][1] == 0
-        for k, (_, rank0, seq0, each, off0) in enumerate(runs):
-            last = runs[k + 1][1] if k + 1 < len(runs) else count
-            for r in range(rank0, last):
-                seq, off = seq0 + (r - rank0) // each, off0 + (r - rank0) % each * n
-                span = set(range(off, off + n))
-                assert not span & places[seq]
-                places[seq] |= span
-                filled[seq] += n
-    assert all(places[s] == set(range(filled[s])) and filled[s] <= capacity for s in filled)
-    assert sorted(capacity - filled[s] for s in filled) == best_fit_decreasing(lengths, capacity) and len(filled) == opened
+    events = [rng.choice("sp") for _ in range(rng.randint(0, 120))]
+    cuts = sorted(rng.randint(0, len(events)) for _ in range(rng.randint(0, 9)))
+    whole, stack, lost = {}, [], []
+    for i, e in enumerate(events):
+        if e == "s":
+            stack.append(i)
+        elif stack:
+            whole[i] = stack.pop()
+        else:
+            lost.append(i)
+    found, loose, open_ = {}, {}, {}
+    for part, (lo, hi) in enumerate(zip([0, *cuts], [*cuts, len(events)], strict=True)):
+        stack = []
+        for i in range(lo, hi):
+            if events[i] == "s":
+                stack.append(i)
+            elif stack:
+                found[i] = stack.pop()
+            else:
+                loose.setdefault(part, []).append(i)
+        open_[part] = stack[::-1]
+    runs, taken, rest = packing.carry({k: len(v) for k, v in loose.items()}, {k: len(v) for k, v in open_.items()})
+    alone = {}
+    for part, at, n, source, to in runs:
+        for k in range(n):
+            if source is None:
+                alone[to + k] = loose[part][at + k]
+            else:
+                assert to + k < taken[source]
+                found[loose[part][at + k]] = open_[source][to + k]
+    assert found == whole and [alone[k] for k in range(rest)] == lost
+
+
+@pytest.mark.parametrize("capacity", [1, 7, 64, 1024])
+def test_classes_cover_all_lengths(capacity):
+    tops = packing.class_tops(capacity)
+    assert tops[0] == capacity and tops[-1] == 1 and tops == sorted(set(tops), reverse=True)
+
+
+@pytest.mark.parametrize("range_rows", [15, 1_000_000])
+def test_supersteps_over_ranges(make, range_rows):
+    """Many small ranges, or one: the gaps are those of the plain list, and as few as best-fit decreasing leaves."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "word", "x1"]) for _ in range(rng.choice([0, 1, 3, rng.randint(0, 30), rng.randint(0, 90)]))) for _ in range(400)]
+    rows = packing.pack(make(texts).repartition(3), capacity=48, range_rows=range_rows).collect()
+    n = check_packing(rows, texts, 48, Tokenizer.from_file(BYTE))
+    filled, lengths = defaultdict(int), [r.length for r in rows]
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    assert sorted(48 - f for f in filled.values()) == supersteps(lengths, 48)
+    assert n <= len(best_fit_decreasing(lengths, 48)) * 1.01 + 1
 
 
 def check_packing(rows, texts, capacity, library):
