@@ -14,12 +14,15 @@ one piece. Pieces are range-sorted by length, and a superstep takes those of one
 3. Ranges know of each other by two counts only, loose pieces and open slots. From these the
    driver tells each run of loose pieces which run of open slots of an earlier range it gets, and
    a join by (range, place) settles them: the whole is exactly the sweep of one sorted list.
-4. What is still loose opens new sequences, ``capacity // top`` pieces each, by rank. Gaps are
-   updated, and the next superstep follows.
+4. What is still loose opens new sequences by rank: pieces of one narrow class of lengths (finer
+   than those of the supersteps) together, as many as surely fit. Gaps are updated, and the next
+   superstep follows.
+
+Pieces of over half the capacity have no choice: each opens a sequence, without a sweep.
 
 The driver holds two counts a range of ``RANGE_ROWS`` rows and nothing of a piece or a gap; every
 superstep ends in tables in the shared folder, so a lost executor costs part of one step. The
-number of supersteps depends on the capacity alone (17 for 1,024).
+number of supersteps is bounded (nine sweeps).
 
 Results for odd input: null and empty texts are one piece (the end id alone); very long texts are
 cut, never shortened; pieces that tie on their length are told apart by partition and place in it;
@@ -30,6 +33,7 @@ left out; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -82,22 +86,34 @@ def tokenized_pieces(docs: DataFrame, id_col="doc_id", text_col="text", path=Non
 
 
 def class_tops(capacity: int) -> list[int]:
-    """Largest lengths of the classes, descending: whole shares of the capacity down to an eighth, then two classes an octave."""
-    tops = [capacity // j for j in range(1, 9)]
+    """Largest lengths of the classes of the supersteps, descending, as shares of the capacity."""
+    return sorted({capacity // j for j in (1, 2, 3, 4, 5, 6, 8, 16, 42, 128)} - {0}, reverse=True)
+
+
+def opening_tops(capacity: int) -> list[int]:
+    """Largest lengths of the classes that open sequences together: shares down to a sixteenth, then two an octave."""
+    tops = [capacity // j for j in range(1, 17) if capacity >= j]
     while tops[-1] > 1:
         tops += [tops[-1] * 3 // 4, tops[-1] // 2]
-    return sorted({t for t in tops if t > 0}, reverse=True)
+    return sorted(set(tops) - {0}, reverse=True)
 
 
-def _sweep(events: DataFrame) -> DataFrame:
+def together(capacity: int) -> list[int]:
+    """By length: how many pieces of its class open a sequence together."""
+    tops = opening_tops(capacity)
+    return [0, *(capacity // min(t for t in tops if t >= n) for n in range(1, capacity + 1))]
+
+
+def _sweep(events: DataFrame, capacity: int) -> DataFrame:
     """Match each piece of a range with the smallest slot that holds it.
 
     ``events``: ``size, kind, weight`` and the fields of a piece, sorted by size, largest first;
     kind 0 is a slot (``pid``: its sequence, ``weight``: how many alike). Result: the fields of a
-    piece, ``sequence_id, state, part, at, weight``; ``at`` counts loose pieces in order and open
-    slots from the smallest on.
+    piece, ``sequence_id, state, part, at, weight, each``; ``at`` counts loose pieces in order and
+    open slots from the smallest on; ``each``: how many loose pieces may open a sequence together.
     """
     kind_of_id = events.schema["doc_id"].dataType.simpleString()
+    alike = np.array(together(capacity))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -106,10 +122,10 @@ def _sweep(events: DataFrame) -> DataFrame:
         slots: list[list[int]] = []  # (sequence, how many), the smallest last
         loose, schema = 0, None
 
-        def out(fields: list[pa.Array], sequence, state, at, weight) -> pa.RecordBatch:
+        def out(fields: list[pa.Array], sequence, state, at, weight, each) -> pa.RecordBatch:
             n = len(state)
-            more = [pa.array(sequence, pa.int64()), pa.array(state, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(weight, pa.int64())]
-            return pa.RecordBatch.from_arrays([*fields, *more], names=[*_FIELDS, "sequence_id", "state", "part", "at", "weight"])
+            more = [pa.array(sequence, pa.int64()), pa.array(state, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(weight, pa.int64()), pa.array(each, pa.int64())]
+            return pa.RecordBatch.from_arrays([*fields, *more], names=[*_FIELDS, "sequence_id", "state", "part", "at", "weight", "each"])
 
         for b in batches:
             schema = b.schema
@@ -133,7 +149,7 @@ def _sweep(events: DataFrame) -> DataFrame:
                     at.append(loose)
                     loose += 1
             pieces = b.take(pa.array(keep, pa.int64()))
-            yield out([pieces.column(f) for f in _FIELDS], sequence, state, at, [1] * len(keep))
+            yield out([pieces.column(f) for f in _FIELDS], sequence, state, at, [1] * len(keep), alike[pieces.column("length").to_numpy(zero_copy_only=False)])
         first, step = 0, 10_000
         slots.reverse()
         for k in range(0, len(slots), step):
@@ -141,36 +157,40 @@ def _sweep(events: DataFrame) -> DataFrame:
             starts = np.cumsum([first, *(w for _, w in some)])
             first = int(starts[-1])
             nulls = [pa.nulls(len(some), schema.field(f).type) for f in _FIELDS]
-            yield out(nulls, [s for s, _ in some], [_OPEN] * len(some), starts[:-1], [w for _, w in some])
+            yield out(nulls, [s for s, _ in some], [_OPEN] * len(some), starts[:-1], [w for _, w in some], [0] * len(some))
 
-    return events.mapInArrow(run, f"doc_id {kind_of_id}, piece int, start long, length long, ids_crc32 long, pid long, sequence_id long, state int, part int, at long, weight long")
+    return events.mapInArrow(run, f"doc_id {kind_of_id}, piece int, start long, length long, ids_crc32 long, pid long, sequence_id long, state int, part int, at long, weight long, each long")
 
 
-def carry(loose: dict[int, int], open_: dict[int, int]) -> tuple[list[tuple], dict[int, int], int]:
+def carry(loose: dict[int, dict[int, int]], open_: dict[int, int]) -> tuple[list[tuple], dict[int, int], list[tuple], dict[int, int]]:
     """Which open slots of earlier ranges the loose pieces of each range get.
 
-    Runs ``(part, at, n, to_part, to_at)`` of loose pieces, where to_part None means that no slot
-    is left and to_at is the rank among such pieces; how many open slots of each range are taken;
-    and the number of pieces without one.
+    ``loose``: pieces by range and by how many of them open a sequence together (which ascends
+    within a range, as lengths descend). Result: runs ``(part, at, n, to_part, to_at)`` of loose
+    pieces; how many open slots of each range are taken; runs ``(part, at, n, each, rank)`` of
+    pieces for which no slot is left, rank among those of the same ``each``; and their numbers.
     """
     stack: list[tuple[int, int, int]] = []  # (range, open slots taken, open slots left), the smallest last
-    runs, taken, rest = [], {}, 0
+    runs, taken, alone, ranks = [], {}, [], {}
     for part in sorted(loose.keys() | open_.keys()):
-        at, n = 0, loose.get(part, 0)
-        while at < n and stack:
-            source, used, left = stack.pop()
-            take = min(left, n - at)
-            runs.append((part, at, take, source, used))
-            taken[source] = used + take
-            if left > take:
-                stack.append((source, used + take, left - take))
-            at += take
-        if at < n:
-            runs.append((part, at, n - at, None, rest))
-            rest += n - at
+        at, end = 0, 0
+        for each, count in sorted(loose.get(part, {}).items()):
+            end += count
+            while at < end and stack:
+                source, used, left = stack.pop()
+                take = min(left, end - at)
+                runs.append((part, at, take, source, used))
+                taken[source] = used + take
+                if left > take:
+                    stack.append((source, used + take, left - take))
+                at += take
+            if at < end:
+                alone.append((part, at, end - at, each, ranks.get(each, 0)))
+                ranks[each] = ranks.get(each, 0) + end - at
+                at = end
         if open_.get(part):
             stack.append((part, 0, open_[part]))
-    return runs, taken, rest
+    return runs, taken, alone, ranks
 
 
 def _superstep(todo: DataFrame, gaps: DataFrame, opened: int, top: int, low: int, capacity: int, ranges: int) -> tuple[DataFrame, DataFrame, int]:
@@ -185,28 +205,40 @@ def _superstep(todo: DataFrame, gaps: DataFrame, opened: int, top: int, low: int
     )
     events = slots.unionByName(todo.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.lit(1).cast("long").alias("weight"), *_FIELDS))
     order = [F.desc("size"), "kind", "pid"]
-    swept = materialize(_sweep(events.repartitionByRange(ranges, *order).sortWithinPartitions(*order)), "packing-sweep")
-    sums = swept.where(F.col("state") != _MATCHED).groupBy("part", "state").agg(F.sum("weight").alias("n")).collect()  # two rows a range
-    runs, taken, rest = carry({r.part: r.n for r in sums if r.state == _LOOSE}, {r.part: r.n for r in sums if r.state == _OPEN})
-    each = capacity // top
+    swept = materialize(_sweep(events.repartitionByRange(ranges, *order).sortWithinPartitions(*order), capacity), "packing-sweep")
+    loose_sums, open_sums = defaultdict(dict), {}
+    for r in swept.where(F.col("state") != _MATCHED).groupBy("part", "state", "each").agg(F.sum("weight").alias("n")).collect():  # a few rows a range
+        if r.state == _LOOSE:
+            loose_sums[r.part][r.each] = r.n
+        else:
+            open_sums[r.part] = r.n
+    runs, taken, alone, ranks = carry(loose_sums, open_sums)
+    first = {}
+    new_from = opened
+    for each, n in sorted(ranks.items()):
+        first[each] = opened
+        opened += -(-n // each)
+
+    def dealt(rows: list[tuple], names: str) -> DataFrame:  # a few rows a range
+        listed = F.broadcast(spark.createDataFrame(rows, f"part int, at0 long, n long, {names}"))
+        return swept.where(F.col("state") == _LOOSE).drop("each").join(listed, "part").where((F.col("at") >= F.col("at0")) & (F.col("at") < F.col("at0") + F.col("n")))
+
     placed = swept.where(F.col("state") == _MATCHED).select(*_FIELDS, "sequence_id")
+    if alone:
+        rows = [(*run, first[run[3]]) for run in alone]
+        placed = placed.unionByName(dealt(rows, "each long, rank long, first long").select(*_FIELDS, F.expr("first + (rank + at - at0) div each").alias("sequence_id")))
     if runs:
-        dealt = F.broadcast(spark.createDataFrame(runs, "part int, at0 long, n long, to_part int, to_at long"))  # at most two rows a range
-        loose = swept.where(F.col("state") == _LOOSE).join(dealt, "part").where((F.col("at") >= F.col("at0")) & (F.col("at") < F.col("at0") + F.col("n")))
-        loose = loose.select(*_FIELDS, "to_part", (F.col("to_at") + F.col("at") - F.col("at0")).alias("unit"))
-        placed = placed.unionByName(loose.where("to_part is null").select(*_FIELDS, F.expr(f"{opened}L + unit div {each}").alias("sequence_id")))
-    if taken:
+        loose = dealt(runs, "to_part int, to_at long").select(*_FIELDS, "to_part", (F.col("to_at") + F.col("at") - F.col("at0")).alias("unit"))
         used = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, used long"))  # a row a range
         units = swept.where(F.col("state") == _OPEN).join(used, "part").where(F.col("at") < F.col("used"))
         units = units.select(F.col("part").alias("to_part"), F.explode(F.sequence("at", F.least(F.col("at") + F.col("weight"), "used") - 1)).alias("unit"), "sequence_id")
         placed = placed.unionByName(loose.join(units, ["to_part", "unit"]).select(*_FIELDS, "sequence_id"))
     placed = materialize(placed, "packing-placed")
-    new = -(-rest // each)
-    changes = placed.select("sequence_id", (-F.col("length")).alias("gap")).unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
+    changes = placed.select("sequence_id", (-F.col("length")).alias("gap")).unionByName(spark.range(new_from, opened).select(F.col("id").alias("sequence_id"), F.lit(capacity).cast("long").alias("gap")))
     after = materialize(gaps.unionByName(changes).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).where("gap > 0"), "packing-gaps")
     release(swept)
     release(gaps)
-    return placed, after, opened + new
+    return placed, after, opened
 
 
 def pack(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=CAPACITY, end_id=END_ID, range_rows=RANGE_ROWS) -> DataFrame:
@@ -217,16 +249,18 @@ def pack(docs: DataFrame, id_col="doc_id", text_col="text", path=None, capacity=
     pieces = materialize(raw.repartitionByRange(parts(raw), F.desc("length"), "pid").sortWithinPartitions(F.desc("length"), "pid"), "packing-pieces")
     release(raw)
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    gaps, opened, done = spark.createDataFrame([], "sequence_id long, gap long"), 0, []
+    gaps, opened, done = None, 0, []
     tops = class_tops(capacity)
     for top, low in zip(tops, [*tops[1:], 0], strict=True):
         n = sum(c for length, c in histogram.items() if low < length <= top)
-        if n:
-            todo = pieces.where((F.col("length") > low) & (F.col("length") <= top))
-            placed, gaps, opened = _superstep(todo, gaps, opened, top, low, capacity, -(-(n + opened) // range_rows))
+        todo = pieces.where((F.col("length") > low) & (F.col("length") <= top))
+        if top == capacity:  # no two of them fit together
+            done.append(todo.select(*_FIELDS, (-1 - F.col("pid")).alias("sequence_id")))
+            gaps = materialize(done[0].select("sequence_id", (capacity - F.col("length")).alias("gap")).where("gap > 0"), "packing-gaps")
+            singles = n
+        elif n:
+            placed, gaps, opened = _superstep(todo, gaps, opened, top, low, capacity, -(-(n + singles + opened) // range_rows))
             done.append(placed)
-    if not done:
-        return pieces.select(*_FIELDS[:-1], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     everything = reduce(DataFrame.unionByName, done)
     # a sequence holds at most `capacity` pieces
     before = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "pid").rowsBetween(Window.unboundedPreceding, -1)

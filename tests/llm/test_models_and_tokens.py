@@ -68,7 +68,7 @@ def best_fit_decreasing(lengths, capacity):
 
 def supersteps(lengths, capacity):
     """The supersteps over one sorted list of slots and pieces, without ranges."""
-    gaps, tops = [], packing.class_tops(capacity)
+    gaps, tops, alike = [], packing.class_tops(capacity), packing.together(capacity)
     for top, low in zip(tops, [*tops[1:], 0], strict=True):
         slots = [(-g, 0, s) for s, g in enumerate(gaps) for _ in range(g // top)]
         slots += [(-(g % top), 0, s) for s, g in enumerate(gaps) if g % top > low]
@@ -80,8 +80,9 @@ def supersteps(lengths, capacity):
                 gaps[stack.pop()] += size
             else:
                 loose.append(-size)
-        each = capacity // top
-        gaps += [capacity - sum(loose[k : k + each]) for k in range(0, len(loose), each)]
+        for each in sorted({alike[n] for n in loose}):
+            same = [n for n in loose if alike[n] == each]
+            gaps += [capacity - sum(same[k : k + each]) for k in range(0, len(same), each)]
         assert all(g >= 0 for g in gaps)
     return sorted(gaps)
 
@@ -110,22 +111,27 @@ def test_ranges_carry_as_one_list_does(seed):
             else:
                 loose.setdefault(part, []).append(i)
         open_[part] = stack[::-1]
-    runs, taken, rest = packing.carry({k: len(v) for k, v in loose.items()}, {k: len(v) for k, v in open_.items()})
-    alone = {}
+    split = {k: rng.randint(0, len(v)) for k, v in loose.items()}  # some of each range open sequences by threes, the rest by fours
+    groups = {k: {each: n for each, n in ((3, split[k]), (4, len(v) - split[k])) if n} for k, v in loose.items()}
+    runs, taken, alone, ranks = packing.carry(groups, {k: len(v) for k, v in open_.items()})
     for part, at, n, source, to in runs:
         for k in range(n):
-            if source is None:
-                alone[to + k] = loose[part][at + k]
-            else:
-                assert to + k < taken[source]
-                found[loose[part][at + k]] = open_[source][to + k]
-    assert found == whole and [alone[k] for k in range(rest)] == lost
+            assert to + k < taken[source]
+            found[loose[part][at + k]] = open_[source][to + k]
+    left, seen = [], {}
+    for part, at, n, each, rank in alone:
+        assert rank == seen.get(each, 0) and all((at + k < split[part]) == (each == 3) for k in range(n))
+        seen[each] = rank + n
+        left += loose[part][at : at + n]
+    assert found == whole and left == lost and seen == ranks
 
 
 @pytest.mark.parametrize("capacity", [1, 7, 64, 1024])
 def test_classes_cover_all_lengths(capacity):
     tops = packing.class_tops(capacity)
-    assert tops[0] == capacity and tops[-1] == 1 and tops == sorted(set(tops), reverse=True)
+    assert tops[0] == capacity and all(tops) and tops == sorted(set(tops), reverse=True)
+    assert all(n * each <= capacity for n, each in enumerate(packing.together(capacity)))
+    assert all(packing.together(capacity)[1:])
 
 
 @pytest.mark.parametrize("range_rows", [15, 1_000_000])
