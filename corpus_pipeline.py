@@ -15,31 +15,53 @@ from gridloom.llm.common import materialize, release, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the compression classifier does not reject (operator 4)."""
+    """Documents whose language the compression classifier does not reject (operator 4).
+
+    Null texts and texts without a letter go; so do ties between two languages, and everything
+    where no text has a label. Very long texts are read whole; repeated rows and rows with null or
+    repeated ids are each decided by their own text; extra columns stay; an empty table stays empty.
+    """
     dictionaries = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     return langid.keep_known(docs, dictionaries)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, similarity 0.8 (operator 5)."""
+    """One document of each group of near copies: five words, similarity 0.8 (operator 5).
+
+    Texts without words (null, empty) are copies of each other; very long texts are read whole; the
+    smallest id stays, null ids come last, ties go to the smaller hash of the text; rows that repeat
+    an id with the same text are one document; extra columns stay; an empty table stays empty.
+    """
     return near.deduplicate(docs, size=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark window (operator 8)."""
+    """Documents that hold no benchmark window (operator 8).
+
+    Null and empty texts stay, as does every document where the benchmark is empty; very long texts
+    are read whole; repeated rows and rows with null or repeated ids are each decided by their own
+    text; ties in rarity change nothing; extra columns stay; an empty table stays empty.
+    """
     return decontam.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by pseudonyms of the same format (operator 9).
 
-    The key is ``gridloom.pii.key`` of the session; without it the public default is used.
+    The key is ``gridloom.pii.key`` of the session; without it the public default is used. Null
+    texts stay null, empty ones empty; very long texts are read whole; where patterns tie the leftmost
+    match wins; repeated rows, null and repeated ids and extra columns stay; an empty table stays empty.
     """
     return pii.pseudonymize(docs, key=pii.key_of(spark), counts_prefix=None)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in training sequences (operator 2)."""
+    """Pieces of all documents with their places in training sequences (operator 2).
+
+    Null and empty texts are one piece (the end id alone); very long texts are cut, never shortened;
+    pieces of equal length are told apart by partition and place in it; repeated rows and rows with
+    null or repeated ids are packed each; extra columns are left out; an empty table gives no piece.
+    """
     return packing.pack(docs)
 
 
