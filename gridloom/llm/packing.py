@@ -15,8 +15,8 @@ one piece. Pieces are range-sorted by length, and a superstep takes those of one
    driver tells each run of loose pieces which run of open slots of an earlier range it gets, and
    a join by (range, place) settles them: the whole is exactly the sweep of one sorted list.
 4. What is still loose opens new sequences by rank: pieces of one narrow class of lengths (finer
-   than those of the supersteps) together, as many as surely fit. Gaps are updated, and the next
-   superstep follows.
+   than those of the supersteps) together, as many as surely fit; what such classes leave over
+   shares sequences. Gaps are updated, and the next superstep follows.
 
 Pieces of over half the capacity have no choice: each opens a sequence, without a sweep.
 
@@ -213,11 +213,18 @@ def _superstep(todo: DataFrame, gaps: DataFrame, opened: int, top: int, low: int
         else:
             open_sums[r.part] = r.n
     runs, taken, alone, ranks = carry(loose_sums, open_sums)
-    first = {}
-    new_from = opened
+    first, tails, new_from = {}, [], opened  # tails: (sequence, what is surely free), for the groups that are not full
     for each, n in sorted(ranks.items()):
-        first[each] = opened
-        opened += -(-n // each)
+        start, full, rest = opened, n // each, n % each * (capacity // each)
+        opened += full
+        tail = min((t for t in tails if t[1] >= rest), key=lambda t: t[1], default=None)
+        if rest and tail is None:
+            tail = [opened, capacity]
+            tails.append(tail)
+            opened += 1
+        if rest:
+            tail[1] -= rest
+        first[each] = start, full * each, tail[0] if rest else None
 
     def dealt(rows: list[tuple], names: str) -> DataFrame:  # a few rows a range
         listed = F.broadcast(spark.createDataFrame(rows, f"part int, at0 long, n long, {names}"))
@@ -225,8 +232,8 @@ def _superstep(todo: DataFrame, gaps: DataFrame, opened: int, top: int, low: int
 
     placed = swept.where(F.col("state") == _MATCHED).select(*_FIELDS, "sequence_id")
     if alone:
-        rows = [(*run, first[run[3]]) for run in alone]
-        placed = placed.unionByName(dealt(rows, "each long, rank long, first long").select(*_FIELDS, F.expr("first + (rank + at - at0) div each").alias("sequence_id")))
+        rows = [(*run, *first[run[3]]) for run in alone]
+        placed = placed.unionByName(dealt(rows, "each long, rank long, first long, whole long, tail long").withColumn("rank", F.expr("rank + at - at0")).select(*_FIELDS, F.expr("if(rank < whole, first + rank div each, tail)").alias("sequence_id")))
     if runs:
         loose = dealt(runs, "to_part int, to_at long").select(*_FIELDS, "to_part", (F.col("to_at") + F.col("at") - F.col("at0")).alias("unit"))
         used = F.broadcast(spark.createDataFrame(list(taken.items()), "part int, used long"))  # a row a range

@@ -72,7 +72,7 @@ def supersteps(lengths, capacity):
     for top, low in zip(tops, [*tops[1:], 0], strict=True):
         slots = [(-g, 0, s) for s, g in enumerate(gaps) for _ in range(g // top)]
         slots += [(-(g % top), 0, s) for s, g in enumerate(gaps) if g % top > low]
-        stack, loose = [], []
+        stack, loose, tails = [], [], []
         for size, kind, s in sorted(slots + [(-n, 1, 0) for n in lengths if low < n <= top]):
             if kind == 0:
                 stack.append(s)
@@ -82,7 +82,16 @@ def supersteps(lengths, capacity):
                 loose.append(-size)
         for each in sorted({alike[n] for n in loose}):
             same = [n for n in loose if alike[n] == each]
-            gaps += [capacity - sum(same[k : k + each]) for k in range(0, len(same), each)]
+            full = len(same) // each * each
+            gaps += [capacity - sum(same[k : k + each]) for k in range(0, full, each)]
+            if full < len(same):
+                need = (len(same) - full) * (capacity // each)
+                fit = [t for t in tails if t[0] >= need]
+                tail = min(fit) if fit else [capacity, 0]
+                tails += [] if fit else [tail]
+                tail[0] -= need
+                tail[1] += sum(same[full:])
+        gaps += [capacity - filled for _, filled in tails]
         assert all(g >= 0 for g in gaps)
     return sorted(gaps)
 

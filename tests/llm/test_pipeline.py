@@ -81,6 +81,26 @@ def test_pipeline_of_odd_rows(spark, make, odd_texts, data):
     assert empty.count() == 0
 
 
+def test_outcomes_of_each_stage_on_odd_rows(spark, make, data):
+    """What the docstrings of the stages state, by rows; a clashing extra column stays until packing."""
+    rows = [(None, None), (1, ""), (2, "a plain text here"), (2, "a plain text here"), (3, "12 34"), (5, "another one for training"), (6, "more of it, word by word")]
+    docs = make([t for _, t in rows], [i for i, _ in rows], clash=True)
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        done = stages[name](spark, docs, data)
+        assert done.columns == docs.columns
+        return sorted(((r.doc_id, r.text) for r in done.collect()), key=repr)
+
+    assert after("language_id") == sorted(((i, t) for i, t in rows if any(map(str.isalpha, t or ""))), key=repr)
+    assert after("near_dedup") == sorted({(i, t) for i, t in rows if i is not None}, key=repr)
+    assert after("decontaminate") == after("pseudonymize") == sorted(rows, key=repr)
+    pieces = stages["pack"](spark, docs, data).collect()
+    assert sorted((r.doc_id for r in pieces), key=repr) == sorted((i for i, _ in rows), key=repr)
+    assert {r.length for r in pieces if r.doc_id in (None, 1)} == {1} and len({r.sequence_id for r in pieces}) == 1
+    assert [r.offset for r in sorted(pieces, key=lambda r: r.offset)] == [sum(sorted((r.length for r in pieces), reverse=True)[:k]) for k in range(len(pieces))]
+
+
 def test_queries_are_registered(spark, data):
     import __spark_entry__
 
