@@ -17,6 +17,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,18 @@ def release(df: DataFrame) -> None:
         fs.delete(where, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """Plans run inside hand Python at most ``rows`` rows at once, where rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def parts(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions to deal ``factor`` times the bytes of ``df`` over: those of the session, or more
     where the size that Spark knows of its files asks for more."""

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, with_least
+from .common import materialize, parts, release, small_batches, with_least
 from .components import components
 from .simhash import SEED, fingerprint_of, links, shingle_hashes
 
@@ -56,6 +56,8 @@ RARITY_SHIFT = 57  #: bits of a token below its rarity
 HOT = 8  #: rarity from which on lists are not dealt by token: seen in 2^7 sampled texts or more
 BLOCK = 2048  #: members of an open list that meet as one block
 BROADCAST_ROWS = 200_000  #: keys (two numbers each) are broadcast up to so many
+BATCH_ROWS = 512  #: texts whose sets a Python worker holds and hands on at once
+BATCH_PAIRS = 1 << 18  #: pairs that it hands on at once
 ROUNDING = 1e-6
 
 
@@ -104,6 +106,13 @@ def block_pairs(g: np.ndarray, label: np.ndarray, n: np.ndarray, p: np.ndarray,
     return np.concatenate(a), np.concatenate(b)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``BATCH_ROWS`` rows."""
+    for b in batches:
+        for k in range(0, b.num_rows, BATCH_ROWS):
+            yield b.slice(k, BATCH_ROWS)
+
+
 def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     """``a, b``: pairs to compare in the open lists of ``s, g, label, n, p, k, toks``."""
 
@@ -111,22 +120,23 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
         held: list[tuple] = []  # rows of the unit that may go on: two blocks at most
         last = None
 
-        def done() -> pa.RecordBatch:
+        def done() -> Iterator[pa.RecordBatch]:
             g, label, n, p, block, toks = zip(*held, strict=True)
             a, b = block_pairs(*map(np.array, (g, label, n, p, block)), list(toks), similarity)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for k in range(0, len(a), BATCH_PAIRS):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + BATCH_PAIRS]) for x in (a, b)], names=["a", "b"])
 
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(8)]
             toks = batch.column(8)
             for k, (s, u, v, *row) in enumerate(zip(*cols, strict=True)):
                 if held and (s, u, v) != last:
-                    yield done()
+                    yield from done()
                     held.clear()
                 last = (s, u, v)
                 held.append((*row, np.array(toks[k].values)))
         if held:
-            yield done()
+            yield from done()
 
     blocks = F.ceil(F.col("k") / BLOCK)
     units = members.withColumn("block", F.pmod(F.xxhash64("g"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
@@ -153,7 +163,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     some = picked.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.first("text").alias("text"))
     counts = some.select("text").mapInArrow(sampled, "s long").groupBy("s").agg(F.count("*").alias("n"))
-    found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()  # at most COMMON rows
+    with small_batches(docs.sparkSession):
+        found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()  # at most COMMON rows
     common = found.column("s").to_numpy().view(np.uint64)
     order = np.argsort(common)
     shared = docs.sparkSession.sparkContext.broadcast((common[order], found.column("n").to_numpy()[order]))
@@ -162,7 +173,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         import xxhash
 
         common, seen = shared.value
-        for b in batches:
+        for b in sliced(batches):
             g, pop, n, fp, p = [], [], [], [], []
             for t in b.column(2):
                 text = t.as_py()
@@ -177,7 +188,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cols = [b.column(0), b.column(1), *unsigned, pa.array(pop, pa.int32()), pa.array(n, pa.int32()), pa.array(p, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "h", "g", "fp", "pop", "n", "p"])
 
-    rows = materialize(picked.select("doc_id", "h", "text").mapInArrow(prints, f"doc_id {kind}, h long, g long, fp long, pop int, n int, p array<long>"), "near-prints")
+    printed = picked.select("doc_id", "h", "text").mapInArrow(prints, f"doc_id {kind}, h long, g long, fp long, pop int, n int, p array<long>")
+    with small_batches(docs.sparkSession):
+        rows = materialize(printed, "near-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("rep")
     nodes = materialize(rows.groupBy("g").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp")), "near-nodes")
 
@@ -207,7 +220,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return both.where(alike).where(most >= similarity / (1 + similarity) * (F.col("na") + F.col("nb")) - ROUNDING).select("a", "b")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             made = [np.unique(shingle_hashes(t.as_py(), size)).view(np.int64) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.list_(pa.int64()))], names=["g", "s"])
 
@@ -218,7 +231,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         many = needed.count()
         found = picked.join(few(needed, many), picked["doc_id"].eqNullSafe(needed["i"]) & (picked["h"] == needed["t"])).select("g", "text").mapInArrow(sets, "g long, s array<long>")
         # stored before they are joined: the joins then read plain tables, whose hot keys can be split
-        found = materialize(found, "near-sets")
+        with small_batches(docs.sparkSession):
+            found = materialize(found, "near-sets")
         if found.count() > many:  # rows that repeat an id with the same text
             once = materialize(found.dropDuplicates(["g"]), "near-sets")
             release(found)
