@@ -2,9 +2,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridloom.llm import near, simhash, syncmers
+from gridloom.llm.common import small_batches
 from gridloom.llm.components import components
 
 
@@ -347,3 +349,31 @@ def test_deduplicate_finds_cut_and_appended_copies(make):
             copies.append(len(texts) - 1)
     kept = {r.doc_id for r in near.deduplicate(make(texts)).collect()}
     assert kept == brute_kept(texts) == set(range(len(texts))) - set(copies)
+
+
+def test_slices_hold_all_rows_in_order():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * near.BATCH_ROWS + 7))], names=["x"])
+    empty = batch.slice(0, 0)
+    cut = list(near.sliced(iter([empty, batch, batch.slice(0, 1)])))
+    assert [len(b) for b in cut] == [near.BATCH_ROWS, near.BATCH_ROWS, 7, 1]
+    assert pa.Table.from_batches(cut)["x"].to_pylist() == [*range(len(batch)), 0]
+
+
+def test_small_batches_hold_inside_only(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def largest():
+        def lengths(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        return max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(lengths, "n long").collect())
+
+    with pytest.raises(ValueError), small_batches(spark):
+        assert largest() <= 512
+        raise ValueError
+    assert spark.conf.get(key) == before
+    with small_batches(spark), small_batches(spark, 10_000):
+        assert largest() <= 512
+    assert largest() > 512
