@@ -255,6 +255,14 @@ def test_mcnemar(spark, gained, lost):
     assert got == pytest.approx(want, rel=1e-9)
 
 
+def test_mcnemar_of_more_pairs_than_its_sql_lists(spark):
+    n, low = 12_200, 6_000  # the query's SQL lists factorials to 4,999 and says 1 beyond
+    middle = sum(math.comb(n, k) for k in range(low + 1, n - low))
+    want = (2**n - middle) / 2**n
+    got = spark.range(1).select(Q.mcnemar_pvalue(F.lit(low), F.lit(n - low)).alias("p")).first().p
+    assert 0.07 < want < 0.08 and got == pytest.approx(want, rel=1e-9)
+
+
 def test_holm_keeps_ties_in_order(spark):
     p = [0.01, 0.04, 0.03, 0.005, 0.04]
     got = [r.p_holm for r in Q.holm(spark.createDataFrame(list(enumerate(p)), "id int, p double")).orderBy("id").collect()]
