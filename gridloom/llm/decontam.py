@@ -5,7 +5,7 @@ window is the set of its three-word shingles (an item of one or two words is one
 length). A document holds a window only if it holds all of its shingles, so one prefix token, the
 window's rarest shingle, is all that has to be joined; neighbouring windows mostly share it.
 
-Rarity is counted over a sample of the texts; it only decides which shingle of a window is joined,
+Rarity is counted over all places of all texts; it only decides which shingle of a window is joined,
 and any choice gives the same result. The prefix tokens are then joined with every word place of
 every document, in rounds that broadcast at most ``BOOK_ROWS`` of them, so no word of the corpus is
 ever shuffled, whatever the benchmark's size. A hit carries the words around it: the window's place
@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 from .common import materialize, words_with_end
 
 ORDER = 3  #: words of a shingle
-SAMPLE = 16  #: one text in so many is sampled for the rarity of shingles
 #: Prefix tokens (a number each) that one round broadcasts.
 BOOK_ROWS = 1_000_000
 #: Texts that are left out are broadcast by hash and length up to so many.
@@ -88,8 +87,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col
     tokens = materialize(spread.select("wid", "ws", "order", "at", sid.alias("sid")), "decontam-tokens")
     book = materialize(tokens.select("sid", "order").distinct(), "decontam-book")
     orders = sorted(r["order"] for r in book.select("order").distinct().collect()) or [ORDER]  # at most ORDER rows
-    some = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0)
-    rarity = _rounds(some, book, orders, None).groupBy("sid", "order").agg(F.count("*").alias("freq"))
+    rarity = _rounds(texts, book, orders, None).groupBy("sid", "order").agg(F.count("*").alias("freq"))
     ranked = tokens.join(rarity, ["sid", "order"], "left").select("wid", "ws", "order", F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "sid", "at").alias("t"))
     prefix = materialize(ranked.groupBy("wid", "ws", "order").agg(F.min("t").alias("t")).select("wid", "ws", "order", F.col("t.sid").alias("sid"), F.col("t.at").alias("at")), "decontam-prefix")
     # copies of a text hit alike: one of them is enough

@@ -85,6 +85,21 @@ def test_contamination_in_many_rounds_has_the_same_plan(spark, make, leaks, monk
     assert [fields(r) for r in out.orderBy("doc_id").collect()] == brute_contamination(texts, items)
 
 
+def test_rarity_is_counted_over_all_texts(spark, make, monkeypatch):
+    items = [[f"i{j}w{k}" for k in range(10)] for j in range(8)]
+    texts = [" ".join(x[k : k + 3]) for j, x in enumerate(items) for k in range(8) for _ in range(1 if k == j else 3)]
+    kept, store = {}, decontam.materialize
+
+    def keep(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(decontam, "materialize", keep)
+    found, _ = decontam.occurrences(make(texts), spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id int, text string"))
+    assert found.count() == 0
+    assert {tuple(r.ws): r.at for r in kept["decontam-prefix"].collect()} == {tuple(x): j for j, x in enumerate(items)}
+
+
 def test_contamination_without_rows(spark, make):
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k")], "item_id int, text string")
     assert decontam.contamination(make(["x"]).limit(0), bench).count() == 0
