@@ -89,6 +89,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Plans run inside delete their shuffle files as soon as they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def parts(df: DataFrame, factor: float = 1.0) -> int:
     """Partitions to deal ``factor`` times the bytes of ``df`` over: those of the session, or more
     where the size that Spark knows of its files asks for more."""

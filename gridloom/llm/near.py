@@ -6,9 +6,10 @@ fingerprints differ in about ten bits, cut or appended text moves up to 22, and
 bits replicates that far. So the anchors of ``simhash`` find what is within their own radius plus
 threshold, which settles most of a group of close copies, and an exact join finds the rest.
 
-Tokens. Every shingle becomes a token that starts with how common a sample of the texts says it is,
-so tokens sorted as numbers are in one order for all documents, rare ones first. Any sample gives
-the same links; a good one makes short lists.
+Tokens. Every shingle becomes a token that starts with how common it is, so tokens sorted as numbers
+are in one order for all documents, rare ones first. Shingles are counted over all distinct texts;
+the ``COMMON`` commonest are told apart, all others count as rare. Any order gives the same links; a
+good one makes short lists.
 
 Candidates. Two sets of n >= m shingles with similarity t or more have t n and 2 t m / (1 + t) or more
 in common, so the first n - ceil(t n) + 1 tokens of the larger one (its prefix) and the first
@@ -25,8 +26,9 @@ compared by their whole sets. (2) Lists whose other members are not of one compo
 open: their members meet in blocks of bounded size, and all pairs within the bound that are not of
 one component yet are compared by their whole sets. Nothing is thinned before it is compared.
 
-Hot keys. Copies of one text are one node. Lists of tokens that the sample calls very common are
-never dealt by token: their counts and leaders are pre-aggregated and broadcast (at most ``COMMON``
+Hot keys. Copies of one text are one node. Shingles are counted in every task before they are dealt
+by ranges of their hash, so a common one is no more than a number a task. Lists of very common tokens
+are never dealt by token: their counts and leaders are pre-aggregated and broadcast (at most ``COMMON``
 rows). Blocks of an open list are tasks of their own.
 
 Results for odd input: null and empty texts, and texts without words, are copies of each other; a
@@ -46,18 +48,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parts, release, small_batches, with_least
+from .common import brief_shuffles, materialize, parts, release, small_batches, with_least
 from .components import components
 from .simhash import SEED, fingerprint_of, links, shingle_hashes
 
-SAMPLE = 8  #: one distinct text in so many is sampled for common shingles
 COMMON = 1 << 19  #: common shingles that are known to all tasks, at most
 RARITY_SHIFT = 57  #: bits of a token below its rarity
-HOT = 8  #: rarity from which on lists are not dealt by token: seen in 2^7 sampled texts or more
+HOT = 11  #: rarity from which on lists are not dealt by token: seen in 2^10 texts or more
 BLOCK = 2048  #: members of an open list that meet as one block
 BROADCAST_ROWS = 200_000  #: keys (two numbers each) are broadcast up to so many
 BATCH_ROWS = 512  #: texts whose sets a Python worker holds and hands on at once
 BATCH_PAIRS = 1 << 18  #: pairs that it hands on at once
+BATCH_SHINGLES = 1 << 20  #: shingles that it counts before it hands them on
 ROUNDING = 1e-6
 
 
@@ -144,6 +146,59 @@ def _open_pairs(members: DataFrame, similarity: float) -> DataFrame:
     return units.repartition("s", "u", "v").sortWithinPartitions("s", "u", "v").mapInArrow(meet, "a long, b long").distinct()
 
 
+def counted(hashes: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted distinct values and how often each is there, for ``BATCH_SHINGLES`` values or a few more at a time."""
+    held, n = [], 0
+    for h in hashes:
+        held.append(h)
+        n += len(h)
+        if n >= BATCH_SHINGLES:
+            yield np.unique(np.concatenate(held), return_counts=True)
+            held, n = [], 0
+    if n:
+        yield np.unique(np.concatenate(held), return_counts=True)
+
+
+def common_shingles(texts: DataFrame, size: int, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """``hashes, n``, sorted by hash: shingles seen in ``n`` rows of ``text``, all that are seen in so many rows
+    or more, where that is the least number (2 or more) by which they are no more than ``COMMON``.
+
+    All shingles of all rows are counted, in ``ranges`` ranges of their hash.
+    """
+    spark = texts.sparkSession
+    low = np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, n in counted(np.unique(shingle_hashes(t.as_py(), size)) for b in batches for t in b.column(0)):
+            ends = np.append(np.searchsorted(h, low), len(h)).astype(np.int32)
+            cols = [pa.array(np.arange(ranges, dtype=np.int32)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["part", "s", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = [tuple(b.column(k).flatten().to_numpy() for k in (1, 2)) for b in batches]
+        s, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*dealt, strict=True) if dealt else ((), ())))
+        order = np.argsort(s, kind="stable")  # runs that are sorted already
+        s, n = s[order], n[order].astype(np.int64)
+        first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+        total = np.add.reduceat(n, first) if len(s) else n
+        yield pa.RecordBatch.from_arrays([pa.array(x[total > 1]) for x in (s[first], total)], names=["s", "n"])
+
+    with small_batches(spark), brief_shuffles(spark):
+        dealt = texts.mapInArrow(deal, "part int, s array<long>, n array<int>").repartitionById(ranges, "part")
+        counts = materialize(dealt.mapInArrow(add, "s long, n long"), "near-counts")
+    least, total = 2, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect():  # few: one row a number
+        total += r["k"]
+        if total > COMMON:
+            least = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()  # at most COMMON rows
+    release(counts)
+    hashes = found.column("s").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found.column("n").to_numpy()[order]
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bits: int = 2) -> DataFrame:
     """Per row: ``doc_id, h`` (hash of the text) and the document that stands for its group.
 
@@ -156,18 +211,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = picked.schema["doc_id"].dataType.simpleString()
     room = 2 * similarity / (1 + similarity)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for t in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), size)).view(np.int64))], names=["s"])
-
-    some = picked.where(F.pmod("h", F.lit(SAMPLE)) == 0).groupBy("h").agg(F.first("text").alias("text"))
-    counts = some.select("text").mapInArrow(sampled, "s long").groupBy("s").agg(F.count("*").alias("n"))
-    with small_batches(docs.sparkSession):
-        found = counts.where("n > 1").orderBy(F.desc("n"), "s").limit(COMMON).toArrow()  # at most COMMON rows
-    common = found.column("s").to_numpy().view(np.uint64)
-    order = np.argsort(common)
-    shared = docs.sparkSession.sparkContext.broadcast((common[order], found.column("n").to_numpy()[order]))
+    once = picked.groupBy("h").agg(F.first("text").alias("text")).select("text")
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(once, size, parts(picked, 4.0)))
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash

@@ -299,6 +299,39 @@ def test_deduplicate_loses_no_link_among_many_variants(make, monkeypatch, hot):
     assert {r.doc_id for r in near.deduplicate(make(texts)).collect()} == want
 
 
+def test_common_shingles_are_counted_over_all_texts(make, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    phrases = [" ".join(word() for _ in range(8)) for _ in range(6)]
+    texts = [" ".join([*(p for j, p in enumerate(phrases) if k % (j + 2) == 0), *(word() for _ in range(20))]) for k in range(40)]
+    texts += texts[:15]  # copies count once
+    sets = {t: np.unique(simhash.shingle_hashes(t, 5)) for t in texts}
+    hashes, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    want = {near._tokens(s, hashes[n > 1], n[n > 1])[: near.prefix_length(len(s), 0.8)].tobytes() for s in sets.values()}
+    kept, store = {}, near.materialize
+
+    def keep(df, name):
+        kept[name] = store(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(near, "materialize", keep)
+    near.near_copies(make(texts)).count()
+    assert {np.array(r.p, np.int64).tobytes() for r in kept["near-prints"].collect()} == want
+
+
+@pytest.mark.parametrize("most", [5, 40, 1 << 19])
+def test_commonest_shingles_are_whole_counts(make, monkeypatch, most):
+    monkeypatch.setattr(near, "COMMON", most)
+    monkeypatch.setattr(near, "BATCH_SHINGLES", 50)  # many parts of a task
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["", None]
+    hashes, n = np.unique(np.concatenate([np.unique(simhash.shingle_hashes(t, 3)) for t in texts]), return_counts=True)
+    least = min(k for k in range(2, n.max() + 2) if (n >= k).sum() <= most)
+    found = near.common_shingles(make(texts).select("text"), 3, 7)
+    assert [x.tolist() for x in found] == [hashes[n >= least].tolist(), n[n >= least].tolist()]
+    assert [len(x) for x in near.common_shingles(make(texts).select("text").limit(0), 3, 7)] == [0, 0]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_block_pairs_against_all_pairs(seed):
     rng = np.random.default_rng(seed)
