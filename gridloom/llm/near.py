@@ -60,6 +60,7 @@ BROADCAST_ROWS = 200_000  #: keys (two numbers each) are broadcast up to so many
 BATCH_ROWS = 512  #: texts whose sets a Python worker holds and hands on at once
 BATCH_PAIRS = 1 << 18  #: pairs that it hands on at once
 BATCH_SHINGLES = 1 << 20  #: shingles that it counts before it hands them on
+BATCH_COUNTS = 1 << 16  #: about so many counts are handed on at once
 ROUNDING = 1e-6
 
 
@@ -172,7 +173,10 @@ def common_shingles(texts: DataFrame, size: int, ranges: int) -> tuple[np.ndarra
         for h, n in counted(np.unique(shingle_hashes(t.as_py(), size)) for b in batches for t in b.column(0)):
             ends = np.append(np.searchsorted(h, low), len(h)).astype(np.int32)
             cols = [pa.array(np.arange(ranges, dtype=np.int32)), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h.view(np.int64), n.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(cols, names=["part", "s", "n"])
+            made = pa.RecordBatch.from_arrays(cols, names=["part", "s", "n"])
+            rows = max(1, ranges * BATCH_COUNTS // len(h))
+            for k in range(0, ranges, rows):
+                yield made.slice(k, rows)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = [tuple(b.column(k).flatten().to_numpy() for k in (1, 2)) for b in batches]
@@ -183,7 +187,7 @@ def common_shingles(texts: DataFrame, size: int, ranges: int) -> tuple[np.ndarra
         total = np.add.reduceat(n, first) if len(s) else n
         yield pa.RecordBatch.from_arrays([pa.array(x[total > 1]) for x in (s[first], total)], names=["s", "n"])
 
-    with small_batches(spark), brief_shuffles(spark):
+    with small_batches(spark, 64), brief_shuffles(spark):
         dealt = texts.mapInArrow(deal, "part int, s array<long>, n array<int>").repartitionById(ranges, "part")
         counts = materialize(dealt.mapInArrow(add, "s long, n long"), "near-counts")
     least, total = 2, 0
@@ -211,8 +215,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind = picked.schema["doc_id"].dataType.simpleString()
     room = 2 * similarity / (1 + similarity)
 
-    once = picked.groupBy("h").agg(F.first("text").alias("text")).select("text")
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(once, size, parts(picked, 4.0)))
+    repeated = materialize(picked.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "near-repeated")
+    if repeated.count() <= BROADCAST_ROWS:  # else all texts are dealt by hash
+        once = picked.join(F.broadcast(repeated), "h", "left_anti").select("text")
+        copied = picked.join(F.broadcast(repeated), "h", "left_semi")
+    else:
+        once, copied = picked.select("text").limit(0), picked
+    once = once.unionByName(copied.groupBy("h").agg(F.first("text").alias("text")).select("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(once, size, parts(picked, 16.0)))
+    release(repeated)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
